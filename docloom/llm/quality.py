@@ -1,8 +1,8 @@
 """Quality by compression: which of two dictionaries shrinks a text more.
 
 One zstandard dictionary is built from labelled good texts and one from bad
-texts. A text is compressed with each; the difference of the two sizes over
-their sum, calibrated by a logistic curve on other labelled texts, is its
+texts. A text is compressed with each; the difference of the two sizes,
+normalised and calibrated by a logistic curve on other labelled texts, is its
 score. Only bounded labelled samples reach the driver; every text is scored
 whole.
 
@@ -40,25 +40,26 @@ def _compressor(dictionary: bytes):
     )
 
 
-def difference(text: str | None, good: bytes, bad: bytes) -> float:
-    """Size with the bad dictionary less that with the good one, normalised."""
+def difference(text: str | None, good: bytes, bad: bytes) -> tuple[float, float]:
+    """Size with the bad dictionary less that with the good one, normalised by
+    the sum of both and by the root of the text's length."""
     data = (text or "").encode()
     g, b = len(_compressor(good).compress(data)), len(_compressor(bad).compress(data))
-    return (b - g) / (b + g)
+    return (b - g) / (b + g), (b - g) / (math.sqrt(len(data)) + 1)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by Newton's method, slightly regularised."""
-    scale = float(np.std(x)) or 1.0
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[float]:
+    """Slopes and intercept by Newton's method, slightly regularised."""
+    scale = np.where(np.std(x, axis=0) > 0, np.std(x, axis=0), 1.0)
     z = np.column_stack([x / scale, np.ones(len(x))])
-    beta, ridge = np.zeros(2), np.diag([1e-3, 1e-6])
+    beta, ridge = np.zeros(z.shape[1]), 1e-3 * np.eye(z.shape[1])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
         step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (weight * (y - p)) - ridge @ beta)
-        beta += step
+        beta += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
-    return float(beta[0] / scale), float(beta[1])
+    return [*map(float, beta[:-1] / scale), float(beta[-1])]
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = SAMPLE_ROWS) -> dict | None:
@@ -87,26 +88,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
                 texts.append(data)
                 total += len(data)
         try:
-            made[value] = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, total // 4)), texts).as_bytes()
+            made[value] = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, total // 60)), texts).as_bytes()
         except zstandard.ZstdError:  # too little text to train on: the text itself serves
             made[value] = b"".join(texts)[-DICTIONARY_BYTES:].ljust(8, b" ")
     held = [r for r in rows if r["half"] == 1] or rows
     x = np.array([difference(r["text"], made[1], made[0]) for r in held])
     y = np.array([r["label"] for r in held], dtype=float)
     weight = np.array([share[int(v)] / max(1, (y == v).sum()) for v in y])
-    slope, intercept = fit_logistic(x, y, weight / weight.mean())
-    return {"good": made[1], "bad": made[0], "slope": slope, "intercept": intercept}
+    return {"good": made[1], "bad": made[0], "curve": fit_logistic(x, y, weight / weight.mean())}
 
 
 def score(text: Column, model: dict | None) -> Column:
     """The calibrated probability of label 1."""
     if model is None:
         return F.lit(0.5)
-    good, bad, slope, intercept = (model[k] for k in ("good", "bad", "slope", "intercept"))
+    good, bad, (first, second, base) = (model[k] for k in ("good", "bad", "curve"))
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series([1 / (1 + math.exp(-max(-30.0, min(30.0, slope * difference(t, good, bad) + intercept)))) for t in texts])
+        pairs = np.array([difference(t, good, bad) for t in texts]).reshape(-1, 2)
+        return pd.Series(1 / (1 + np.exp(-np.clip(pairs @ [first, second] + base, -30, 30))))
 
     return scored(text.cast("string"))
 
