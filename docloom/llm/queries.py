@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import mixing, packing, quality, simhash
+from docloom.llm import mixing, packing, quality, simhash, toxicity
 from docloom.llm.common import crc_fold
 
 
@@ -26,6 +26,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.classify(docs, _table(spark, sf_dir, "labels"), "toxic", 0.5)
+    return scored.select("row.doc_id", crc_fold("row.doc_id").alias("held_out"), "score", "predicted", "neighbours")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select(
@@ -45,6 +51,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
+    "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
     "op10_quality": op10_quality,
