@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import mixing, packing, quality, secrets, simhash, toxicity
+from docloom.llm import bitsliced, kmeans_tree, mixing, packing, quality, secrets, simhash, toxicity
 from docloom.llm.common import crc_fold
 
 
@@ -21,6 +21,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+def op3_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return bitsliced.top_products(rows, rows.filter("vec_id % 50 = 0"), 5)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -64,6 +73,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_kmeans_tree": op1_kmeans_tree,
+    "op3_bitsliced": op3_bitsliced,
     "op4_simhash": op4_simhash,
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
