@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import write_shared
 
 #: Mean rows of one (length, bucket) group never exceed this.
-GROUP_ROWS = 4096
+GROUP_ROWS = 512
 #: Known chunks that a Python worker keeps before it starts anew.
 CACHE_CHUNKS = 400_000
 #: Texts with these go to the tokenizer whole: white space and case on which

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bitsliced, kmeans_tree, mixing, packing, quality, secrets, simhash, toxicity
+from docloom.llm import bitsliced, kmeans_tree, lines, mixing, packing, quality, secrets, simhash, toxicity
 from docloom.llm.common import crc_fold
 
 
@@ -35,6 +35,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("doc").alias("doc_id"), "line_no", "class_id", F.col("first").alias("kept"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.classify(docs, _table(spark, sf_dir, "labels"), "toxic", 0.5)
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kmeans_tree": op1_kmeans_tree,
     "op3_bitsliced": op3_bitsliced,
     "op4_simhash": op4_simhash,
+    "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
