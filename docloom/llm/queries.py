@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bitsliced, kmeans_tree, lines, mixing, packing, quality, secrets, simhash, toxicity
+from docloom.llm import bitsliced, kmeans_tree, lines, mixing, packing, pii, quality, secrets, simhash, toxicity
 from docloom.llm.common import crc_fold
 
 
@@ -25,6 +25,11 @@ def op1_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans_tree.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("row.doc_id", "row.text", "n_entities")
+
+
 def op3_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
     return bitsliced.top_products(rows, rows.filter("vec_id % 50 = 0"), 5)
@@ -79,6 +84,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kmeans_tree": op1_kmeans_tree,
+    "op2_surrogates": op2_surrogates,
     "op3_bitsliced": op3_bitsliced,
     "op4_simhash": op4_simhash,
     "op5_line_dedup": op5_line_dedup,
