@@ -32,12 +32,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import write_shared
+from docloom.llm.common import small_side, write_shared
 from docloom.llm.components import components
 
 #: Most fingerprints of one BK-tree.
 TREE_ROWS = 2048
 SEED = 42
+#: Row keys up to which their list is broadcast (8 bytes each).
+BROADCAST_ROWS = 1_000_000
 #: Shingles hashed at once, to bound memory on very long texts.
 SLICE = 200_000
 
@@ -175,15 +177,40 @@ def _frame(pairs: list[tuple[int, int]]) -> pd.DataFrame:
     return pd.DataFrame(np.array(pairs, dtype=np.uint64).reshape(-1, 2).view(np.int64), columns=["a", "b"])
 
 
+def grouped(docs: DataFrame, radius: int = 3, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, row_key, fp, root)`` of every row; linked rows share ``root``."""
+    text = F.col(text_col).cast("string")
+    rows = write_shared(
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(id_col), text).alias("row_key"), fingerprints(text, width).alias("fp")), "fingerprints"
+    )
+    prints = write_shared(rows.select("fp").distinct(), "prints")
+    roots = components(links(prints, radius)).select(F.col("node").alias("fp"), "root")
+    return rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A hash that only rows equal in id and text share."""
+    return F.xxhash64(doc_id, text, F.lit(5))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fp, component_id)`` of every row; ``component_id`` is the least
     id reachable through links, the row's own included."""
-    rows = write_shared(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col), width).alias("fp")), "fingerprints"
+    rows = write_shared(grouped(docs, radius, width, id_col, text_col), "grouped")
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "root").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, radius: int = 3, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the least id of their component, one each."""
+    rows = write_shared(grouped(docs, radius, width, id_col, text_col), "grouped")
+    least = rows.groupBy("root").agg(F.min(F.struct("doc_id", "row_key")).alias("least"))
+    gone = write_shared(
+        rows.join(least, "root").filter(~F.struct("doc_id", "row_key").eqNullSafe(F.col("least"))).select("row_key").distinct(), "gone"
     )
-    prints = write_shared(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
-    roots = components(links(prints.select("fp"), radius))
-    rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = write_shared(rooted.join(least, "root").select("fp", "component_id"), "placed")
-    return rows.join(placed, "fp").select("doc_id", "fp", "component_id")
+    again = write_shared(rows.groupBy("row_key").agg(F.count("*").alias("n")).filter("n > 1").select("row_key"), "again")
+    keyed = docs.select(F.struct("*").alias("row"), row_key(F.col(id_col), F.col(text_col).cast("string")).alias("row_key"))
+    kept = keyed.join(small_side(gone, gone.count(), BROADCAST_ROWS), "row_key", "left_anti")
+    few = small_side(again, again.count(), BROADCAST_ROWS)
+    single, repeated = kept.join(few, "row_key", "left_anti"), kept.join(few, "row_key", "left_semi")
+    return single.unionByName(repeated.dropDuplicates(["row_key"])).select("row.*")
