@@ -54,15 +54,24 @@ _TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + ")"
 _KNOWN = "(?:" + "|".join(n for ns in GIVEN.values() for n in ns) + ")"
 #: Expressions of the types, in order of preference.
 TYPES = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\dA-Za-z+])\d(?:[ -]?\d){12,18}(?![\dA-Za-z])",
     "ssn": r"(?<![\dA-Za-z-])\d{3}-\d{2}-\d{4}(?![\dA-Za-z-])",
-    "phone": r"(?<![\dA-Za-z])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\dA-Za-z.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-])",
-    "person": rf"(?<![\p{{L}}\d])(?:{_TITLE}\.? {_NAME}(?: {_NAME})?|{_KNOWN} {_NAME})",
+    "phone": r"(?<![\dA-Za-z])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+(?=\d(?:[ .-]?\d){6})\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\dA-Za-z.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-])",
+    "person": rf"(?=\p{{Lu}}|г)(?<![\p{{L}}\d])(?:{_TITLE}\.? {_NAME}(?: {_NAME})?|{_KNOWN} {_NAME})",
 }
-ANY = "|".join(f"(?:{p})" for p in TYPES.values())
+_DIGITS = "|".join(f"(?:{TYPES[t]})" for t in ("ip", "iban", "card", "ssn", "phone"))
+#: Any entity. The lookahead only spares attempts that can't match.
+ANY = rf"(?:{TYPES['email']})|(?=[\d+(]|[A-Z]{{2}}\d)(?:{_DIGITS})|(?:{TYPES['person']})"
+
+
+def holds_entity(text: Column) -> Column:
+    """Whether any entity occurs, by cheap tests first; false for null."""
+    email = F.contains(text, F.lit("@")) & text.rlike(TYPES["email"])
+    digits = text.rlike(r"\d[\d .()-]{5}|[A-Z]{2}\d") & text.rlike(rf"(?=[\d+(]|[A-Z]{{2}}\d)(?:{_DIGITS})")
+    return F.coalesce(email | digits | text.rlike(TYPES["person"]), F.lit(False))
 
 
 def type_of(found: Column) -> Column:
@@ -197,9 +206,9 @@ def _named(found: Column, news: Column) -> Column:
 def pseudonymised(docs: DataFrame, key: str = "docloom", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(row struct, n_entities)``: the rows with surrogates in their text."""
     text = F.col("row")[text_col].cast("string")
-    rows = docs.select(F.struct("*").alias("row")).withColumn("hit", F.coalesce(text.rlike(ANY), F.lit(False)))
-    clean = rows.filter("not hit").select("row", F.lit(0).alias("n_entities"))
-    hits = rows.filter("hit").select("row", F.xxhash64(F.col("row")[id_col], text).alias("row_key"))
+    rows = docs.select(F.struct("*").alias("row"))
+    clean = rows.filter(~holds_entity(text)).select("row", F.lit(0).alias("n_entities"))
+    hits = write_shared(rows.filter(holds_entity(text)).select("row", F.xxhash64(F.col("row")[id_col], text).alias("row_key")), "hits")
     found = write_shared(
         hits.select("row_key", F.posexplode(F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("at", "found")).distinct(), "entities"
     )
