@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.plans import statements
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -22,11 +24,12 @@ def segment_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"segment_totals": segment_totals}
+QUERIES: dict[str, Query] = {"segment_totals": segment_totals, **statements.QUERIES}
 
 SQL: dict[str, str] = {
     "segment_totals": """
         SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total
         FROM orders JOIN customer ON o_custkey = c_custkey
         GROUP BY c_mktsegment HAVING count(*) > 10""",
+    **statements.SQL,
 }
