@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.plans import statements
+from docloom.plans import documents, statements
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,7 +24,7 @@ def segment_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"segment_totals": segment_totals, **statements.QUERIES}
+QUERIES: dict[str, Query] = {"segment_totals": segment_totals, **statements.QUERIES, **documents.QUERIES}
 
 SQL: dict[str, str] = {
     "segment_totals": """
@@ -32,4 +32,5 @@ SQL: dict[str, str] = {
         FROM orders JOIN customer ON o_custkey = c_custkey
         GROUP BY c_mktsegment HAVING count(*) > 10""",
     **statements.SQL,
+    **documents.SQL,
 }
