@@ -155,7 +155,7 @@ def native_predicate(df: DataFrame, filters: Any) -> Column:
         for part in path_segments(key)[1:]:
             x = x.getField(part)
         if op in ORDERED:
-            return F.coalesce(_compare(x, op, value), F.lit(False)) if isinstance(kind, T.NumericType) else F.lit(False)
+            return _compare(x, op, value) if isinstance(kind, T.NumericType) else F.lit(False)
         if value is None:
             return x.isNull() if op == "eq" else x.isNotNull()
         if isinstance(kind, (T.ArrayType, T.StructType)) and isinstance(value, (list, dict)):
@@ -164,6 +164,8 @@ def native_predicate(df: DataFrame, filters: Any) -> Column:
             same = x == value
         else:
             return F.lit(op == "ne")
-        return F.coalesce(same, F.lit(False)) if op == "eq" else ~F.coalesce(same, F.lit(False))
+        # A null is no match here and stays one under AND, which lets Parquet
+        # take the comparison; only a negation needs it made false.
+        return same if op == "eq" else ~F.coalesce(same, F.lit(False))
 
     return reduce(lambda a, b: a & b, map(one, validate(filters)), F.lit(True))
