@@ -95,4 +95,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-SQL: dict[str, str] = {}
+def _found_sql(rule: secrets.Rule, order: int) -> str:
+    """A rule's spans as a list of structs, in DuckDB's words."""
+    pattern = rule.pattern.replace("'", "''")
+    length = "lambda s: length(s)"
+    add = lambda xs: f"coalesce(list_sum(list_transform({xs}, {length})), 0)"
+    pieces, found, kept = f"string_split_regex(t, '{pattern}')", f"regexp_extract_all(t, '{pattern}')", f"regexp_extract_all(t, '{pattern}', {rule.group})"
+    start = f"{add('x.p[1:i]')} + {add('x.m[1:i - 1]')}"
+    one = f"{{'s': CAST({start} AS BIGINT), 'o': {order}, 'e': CAST({start} + length(x.m[i]) AS BIGINT), 'k': '{rule.kind}', 'n': length(x.k[i])}}"
+    whole = f"(SELECT list_transform(range(1, len(x.m) + 1), lambda i: {one}) FROM (SELECT {{'p': {pieces}, 'm': {found}, 'k': {kept}}} AS x))"
+    return f"list_transform(list_filter({whole}, lambda z: z.n >= {rule.least}), lambda z: {{'s': z.s, 'o': z.o, 'e': z.e, 'k': z.k}})"
+
+
+_SPANS = "list_concat(" + ", ".join(_found_sql(r, i) for i, r in enumerate(secrets.BASE + secrets.ADDED)) + ")"
+_TEXT = "coalesce(array_to_string(list_transform({}, lambda z: z.k || ':' || z.s || ':' || z.e), ','), '')"
+_BASE = f"list_filter(x, lambda z: z.o < {len(secrets.BASE)})"
+
+SQL: dict[str, str] = {
+    "op3_bitsliced": """
+        WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+          WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+        s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+          FROM q a JOIN q b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op9_secrets": f"""
+        SELECT doc_id, {", ".join(f"CAST(len(list_filter(x, lambda z: z.k = '{r.kind}')) AS BIGINT) AS n_{r.kind}" for r in secrets.BASE)},
+          sha256({_TEXT.format(_BASE)}) AS base_sha256, {_TEXT.format("x")} AS spans
+        FROM (SELECT doc_id, list_sort({_SPANS}) AS x FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))""",
+}
