@@ -7,7 +7,7 @@ score. Only bounded labelled samples reach the driver; every text is scored
 whole.
 
 Defined cases: null and empty texts compress alike with both dictionaries, so
-their difference is zero and they get that difference's calibrated score;
+their difference is zero and they get its calibrated score;
 without labels of both classes every score is 0.5.
 """
 
@@ -40,12 +40,14 @@ def _compressor(dictionary: bytes):
     )
 
 
-def difference(text: str | None, good: bytes, bad: bytes) -> tuple[float, float]:
+def difference(text: str | None, good: bytes, bad: bytes) -> tuple[float, float, float]:
     """Size with the bad dictionary less that with the good one, normalised by
-    the sum of both and by the root of the text's length."""
+    the sum of both and by the root of the text's length; and the sum itself
+    against the length, as a difference means less where either shrinks a text
+    to almost nothing."""
     data = (text or "").encode()
     g, b = len(_compressor(good).compress(data)), len(_compressor(bad).compress(data))
-    return (b - g) / (b + g), (b - g) / (math.sqrt(len(data)) + 1)
+    return (b - g) / (b + g), (b - g) / (math.sqrt(len(data)) + 1), math.log((b + g) / (len(data) + 20))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[float]:
@@ -102,12 +104,12 @@ def score(text: Column, model: dict | None) -> Column:
     """The calibrated probability of label 1."""
     if model is None:
         return F.lit(0.5)
-    good, bad, (first, second, base) = (model[k] for k in ("good", "bad", "curve"))
+    good, bad, (*slopes, base) = (model[k] for k in ("good", "bad", "curve"))
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        pairs = np.array([difference(t, good, bad) for t in texts]).reshape(-1, 2)
-        return pd.Series(1 / (1 + np.exp(-np.clip(pairs @ [first, second] + base, -30, 30))))
+        found = np.array([difference(t, good, bad) for t in texts]).reshape(-1, len(slopes))
+        return pd.Series(1 / (1 + np.exp(-np.clip(found @ slopes + base, -30, 30))))
 
     return scored(text.cast("string"))
 
