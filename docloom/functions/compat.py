@@ -8,11 +8,14 @@ month. What Spark has under the same rules is used directly.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_FORMAT = re.compile(r"%[-+0 #]*\d*(?:\.\d+)?([a-zA-Z%])")
+
 
 def substr(x: Column, start: int, size: int | None = None) -> Column:
     """Substring from 1, from the end if negative; 0 counts as one before 1."""
@@ -214,3 +217,48 @@ def start_of(ts: Column, unit: str) -> Column:
 def next_weekday(ts: Column, day: int) -> Column:
     """The same day or the next one with weekday ``day`` (0: Sunday)."""
     return F.date_add(ts, F.pmod(F.lit(day) - (F.dayofweek(ts) - 1), F.lit(7)))
+
+
+def printf(fmt: str, *xs: Column) -> Column:
+    """C-style format; numbers for ``%f``, ``%e`` and ``%g`` become doubles."""
+    codes = [m for m in _FORMAT.findall(fmt) if m != "%"]
+    if len(codes) != len(xs):
+        raise ValueError(f"{fmt!r} takes {len(codes)} values")
+    cast = {"d": "bigint", "i": "bigint", "x": "bigint", "X": "bigint", "o": "bigint", "f": "double", "e": "double", "g": "double", "s": "string", "c": "string"}
+    return F.format_string(fmt.replace("%i", "%d"), *[x.cast(cast[c]) for c, x in zip(codes, xs)])
+
+
+def timediff(a: Column, b: Column) -> Column:
+    """``a - b`` as ``+DDDD HH:MM:SS`` in days."""
+    seconds = F.unix_timestamp(a.cast("timestamp")) - F.unix_timestamp(b.cast("timestamp"))
+    n = F.abs(seconds)
+    return F.concat(
+        F.when(seconds < 0, "-").otherwise("+"),
+        F.format_string("%04d %02d:%02d:%02d", F.floor(n / 86400), F.floor(n / 3600) % 24, F.floor(n / 60) % 60, n % 60),
+    )
+
+
+def json_quote(x: Column) -> Column:
+    """A value as JSON text."""
+    inner = F.to_json(F.struct(x.alias("v")), {"ignoreNullFields": "false"})
+    return F.substring(inner, F.lit(6), F.length(inner) - 6)
+
+
+def json_array_length(x: Column, path: str = "$") -> Column:
+    """Members of the array at a path; 0 for another value."""
+    at = F.get_json_object(x, path)
+    return F.when(at.isNotNull(), F.coalesce(F.json_array_length(at), F.lit(0)))
+
+
+def json_each(df: DataFrame, column: str) -> DataFrame:
+    """One row per member of the JSON value in ``column``: ``pos, key, value``."""
+    return df.lateralJoin(df.sparkSession.tvf.variant_explode(F.try_parse_json(F.col(column).outer())))
+
+
+def octet_length(x: Column) -> Column:
+    return F.octet_length(x)
+
+
+def concat(*xs: Column) -> Column:
+    """Texts joined, nulls left out."""
+    return F.concat(*[F.coalesce(x.cast("string"), F.lit("")) for x in xs])

@@ -14,7 +14,7 @@ from types import SimpleNamespace
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.operators.keyspace import as_relation, one_per_id
-from docloom.operators.security import authorise
+from docloom.operators.security import authorise, next_group_bit
 
 READS = ("SELECT", "WITH", "VALUES", "FROM", "(")
 
@@ -23,6 +23,30 @@ class StatementError(ValueError):
     """A statement that isn't one read of known relations."""
 
 
+class Entities:
+    """Named settings, groups, users or handlers of a catalog, listed by name."""
+
+    def __init__(self) -> None:
+        self._found: dict[str, dict] = {}
+
+    def create(self, name: str, **values) -> None:
+        if name in self._found:
+            raise ValueError(f"{name!r} exists")
+        self._found[name] = values
+
+    def update(self, name: str, **values) -> None:
+        self._found[name] = {**self._found[name], **values}
+
+    def delete(self, name: str) -> None:
+        del self._found[name]
+
+    def get(self, name: str) -> dict | None:
+        return self._found.get(name)
+
+    def list(self) -> list[tuple[str, dict]]:
+        return sorted(self._found.items())
+
+
 class Catalog:
     """A registry of keyspaces; relations are loaded when they are named."""
 
@@ -31,6 +55,14 @@ class Catalog:
         self._databases: dict[str, int] = {}
         self._masks: dict[str, dict[str, int]] = {}
         self._keyspaces: dict[tuple[str, str, str], Callable[[], DataFrame]] = {}
+        self.settings, self.users, self.code = Entities(), Entities(), Entities()
+        self.groups = Entities()
+
+    def create_group(self, name: str) -> int:
+        """A group with the lowest free bit of the permission masks."""
+        bit = next_group_bit(g["bit"] for _, g in self.groups.list())
+        self.groups.create(name, bit=bit)
+        return bit
 
     def create_database(self, name: str, replicas: int = 1) -> None:
         if name in self._databases:

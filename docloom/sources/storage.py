@@ -91,3 +91,9 @@ def backup(keyspaces: Mapping[str, DataFrame], path: str, skip: tuple[str, ...]
 
 def restore_all(spark: SparkSession, names: list[str], path: str, target: str) -> dict[str, DataFrame]:
     return {name: restore(spark, f"{path}/{name}", f"{target}/{name}") for name in names}
+
+
+def size_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes that a table takes in its file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()

@@ -221,3 +221,36 @@ def test_analytics(spark):
     r = analytics.shard_totals(new).head()
     assert (r["reads"], r["size_bytes"], r["read_ms"], r["write_ms"]) == (8, 60, 1.0, 0.0)
     assert analytics.pending_total(new).head()[0] == 6
+
+
+def test_more_functions(spark):
+    got = spark.range(1).select(
+        compat.printf("%05.1f|%d|%s|%%", F.lit(2), F.lit(3.9), F.lit("x")), compat.timediff(F.lit("2024-01-02 01:00:00"), F.lit("2024-01-01")), compat.json_quote(F.lit('a"b')),
+        compat.json_array_length(F.lit('{"a":[1,2]}'), "$.a"), compat.json_array_length(F.lit('{"a":1}'), "$.a"), compat.concat(F.lit("a"), F.lit(None), F.lit(1)),
+    ).head()
+    assert list(got) == ["002.0|3|x|%", "+0001 01:00:00", '"a\\"b"', 2, 0, "a1"]
+    each = compat.json_each(spark.createDataFrame([(1, '{"x":5,"y":[1]}'), (2, "7")], "id int, doc string"), "doc")
+    assert sorted((r["id"], r["key"]) for r in each.select("id", "key").collect()) == [(1, "x"), (1, "y")]
+    with pytest.raises(ValueError):
+        compat.printf("%d")
+
+
+def test_demo_and_entities(spark, tmp_path):
+    from docloom.sources import demo
+
+    state = changes.current(demo.changes(spark, 5), 6)
+    assert state.count() == 10
+    staff = keyspace.Keyspace(state.filter("keyspace = 'staff'").withColumnRenamed("ts", "timestamp"), 6)
+    assert [r["id"] for r in staff.ids([{"key": "lead.id", "operator": "eq", "value": "s1"}]).collect()] == ["s2"]
+    assert staff.documents().filter("id = 's3'").head()["document"] == '{"id":"s3","name":"Cleo","age":41,"office":"o1","email":null}'
+    state.write.parquet(str(tmp_path / "t"))
+    assert storage.size_bytes(spark, str(tmp_path / "t")) > 500
+    c = Catalog(spark)
+    assert [c.create_group(g) for g in ("a", "b")] == [1, 2]
+    c.groups.delete("a")
+    assert c.create_group("c") == 1 and [n for n, _ in c.groups.list()] == ["b", "c"]
+    c.settings.create("k", v=1)
+    c.settings.update("k", v=2)
+    assert c.settings.get("k") == {"v": 2} and c.users.get("x") is None
+    with pytest.raises(ValueError):
+        c.settings.create("k")
