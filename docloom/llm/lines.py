@@ -5,8 +5,9 @@ Lines of at least ``LEAST`` characters take part; two of them link if at most
 ``EDITS + 1`` segments by its length; of two lines that link, the shorter has
 a segment that occurs in the longer one, near its place. An index holds every
 line's segments by length, ordinal and hash. Lines probe it with just the
-substrings at the shifts that the ordinals and the lengths allow. Candidates
-are verified by Hyyro's banded bit-parallel edit distance: one bit per
+substrings at the shifts that the ordinals and the lengths allow. Where a
+segment is in very many lines, these must also agree in their letters' counts
+as lines this close do. Candidates are verified by Hyyro's banded bit-parallel edit distance: one bit per
 diagonal of the band, so a line of any length needs one word.
 
 All of it is DataFrame functions. The edit distance is a fold over positions.
@@ -34,6 +35,9 @@ from docloom.llm.components import components
 
 #: Edits between linked lines, and characters of a line that takes part.
 EDITS, LEAST = 2, 24
+#: Lines of one segment beyond which it alone makes no candidates.
+HOT = 8
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Line hashes up to which their list is broadcast (8 bytes each).
 BROADCAST_ROWS = 200_000
 
@@ -123,20 +127,45 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
     return F.coalesce(F.get(F.transform(pair, run), F.lit(0)), F.lit(False))
 
 
+def letter_counts(line: Column) -> Column:
+    """How often each letter occurs, and how many other characters there are.
+
+    An edit changes two of these by one at most, so the counts of lines within
+    ``EDITS`` differ by ``2 * EDITS`` in sum.
+    """
+    low = F.translate(line, LETTERS.upper(), LETTERS)
+    each = [F.length(low) - F.length(F.replace(low, F.lit(c), F.lit(""))) for c in LETTERS]
+    return F.array(*each, F.length(low) - reduce(lambda x, y: x + y, each))
+
+
 def candidates(lines: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of line hashes that share a segment, a < b."""
+    """Pairs ``(a, b)`` of line hashes that share a segment, a < b.
+
+    A segment in over ``HOT`` lines alone says little: there the lines must
+    also agree in their letters' counts as any two that link do.
+    """
     n = F.length("line")
     own, probes = _keys(F.col("line"), n)
-    once = lines.select("h", own.alias("own"), probes.alias("probes")).dropDuplicates(["h"])
-    once = write_shared(once, "segments")
+    once = write_shared(lines.select("h", own.alias("own"), probes.alias("probes")).dropDuplicates(["h"]), "segments")
     index = once.select("h", F.explode("own").alias("key"))
-    asked = once.select(F.col("h").alias("g"), F.explode(F.concat("own", "probes")).alias("key"))
-    return (
-        index.join(asked, "key")
-        .filter("h <> g")
-        .select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b"))
-        .distinct()
+    asked = once.select("h", F.explode(F.concat("own", "probes")).alias("key"))
+    hot = write_shared(index.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key"), "hot")
+    few = small_side(hot, hot.count(), BROADCAST_ROWS)
+    pairs = _meet(index.join(few, "key", "left_anti"), asked.join(few, "key", "left_anti"))
+    held, wanted = index.join(few, "key", "left_semi"), asked.join(few, "key", "left_semi")
+    seen = write_shared(wanted.select("h").distinct(), "hot_lines")
+    counted = write_shared(
+        lines.select("h", "line").join(small_side(seen, seen.count(), BROADCAST_ROWS), "h").dropDuplicates(["h"]).select("h", letter_counts(F.col("line")).alias("n")), "counted"
     )
+    far = F.aggregate(F.zip_with("n", "m", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
+    left, right = held.join(counted, "h"), wanted.join(counted, "h").withColumnsRenamed({"h": "g", "n": "m"})
+    near = left.join(right, (left["key"] == right["key"]) & (F.col("h") != F.col("g")) & (far <= 2 * EDITS))
+    return pairs.unionByName(near.select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b"))).distinct()
+
+
+def _meet(index: DataFrame, asked: DataFrame) -> DataFrame:
+    met = index.join(asked.withColumnRenamed("h", "g"), "key").filter("h <> g")
+    return met.select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b"))
 
 
 def links(lines: DataFrame) -> DataFrame:
