@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import labelled_sample
+from docloom.llm.common import crc_fold, labelled_sample
 
 #: Labelled rows a class from which dictionaries and calibration are fitted.
 SAMPLE_ROWS = 3000
@@ -78,7 +78,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
         .orderBy("doc_id", "text")
         .collect()
     )
-    share = {r["label"]: r["n"] for r in labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(label).cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
+    share = {r["label"]: r["n"] for r in labels.filter(F.col(label).isin(0, 1) & ~crc_fold()).groupBy(F.col(label).cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
     if len({r["label"] for r in rows}) < 2:
         return None
     made = {}

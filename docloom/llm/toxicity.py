@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import labelled_sample, write_shared
+from docloom.llm.common import crc_fold, labelled_sample, write_shared
 from docloom.llm.quality import fit_logistic
 
 #: Labelled rows a class, terms of the vocabulary, neighbours, block length.
@@ -186,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return None
-    share = {r["y"]: r["n"] for r in labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+    share = {r["y"]: r["n"] for r in labels.filter(F.col(label).isin(0, 1) & ~crc_fold()).groupBy(F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     vocabulary = _vocabulary(sample, totals)
 
     def frequencies(batches):
