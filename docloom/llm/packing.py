@@ -42,7 +42,8 @@ CACHE_CHUNKS = 400_000
 #: Python and the tokenizer may differ, and strings of special tokens.
 PLAIN = re.compile("[\x1c-\x1f\x85Σİ]|<\\|")
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Ids travel beside a mark for null: pandas would make doubles of both.
+PIECES = "doc_id long, no_id boolean, piece int, start long, length long, ids_crc32 long"
 
 
 @lru_cache(maxsize=2)
@@ -90,22 +91,21 @@ def encode(texts: list[str], path: str) -> Iterator[bytes]:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """One row per piece: ``doc_id, piece, start, length, ids_crc32``."""
+    """One row per piece: ``doc_id, no_id, piece, start, length, ids_crc32``."""
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches):
         for pdf in batches:
             rows = []
-            for doc_id, ids in zip(pdf["doc_id"], encode(pdf["text"].tolist(), tokenizer_path)):
+            for doc_id, no_id, ids in zip(pdf["doc_id"], pdf["no_id"], encode(pdf["text"].tolist(), tokenizer_path)):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                    rows.append((doc_id, no_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            yield pd.DataFrame(rows, columns=["doc_id", "no_id", "piece", "start", "length", "ids_crc32"])
 
-    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = F.col("doc_id").cast("long")
+    few = docs.select(F.coalesce(own, F.lit(0).cast("long")).alias("doc_id"), own.isNull().alias("no_id"), F.col("text").cast("string").alias("text"))
     return few.mapInPandas(cut, PIECES)
 
 
@@ -220,18 +220,18 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = _intervals(reduce_and_fit(histogram, capacity))
     buckets = max(1, -(-max(histogram.values(), default=0) // GROUP_ROWS))
-    keyed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    keyed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "no_id", "piece", "ids_crc32"), F.lit(buckets)))
     shift = (
         keyed.groupBy("length", "bucket")
         .agg(F.count("*").alias("n"))
         .withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n"))
         .drop("n")
     )
-    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "no_id", "piece", "ids_crc32")
     ranked = (
         keyed.withColumn("at", F.row_number().over(within) - 1)
         .join(shift, ["length", "bucket"])
-        .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("at")).alias("rank"))
+        .select("doc_id", "no_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("at")).alias("rank"))
     )
 
     def place(batches):
@@ -246,4 +246,5 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
                 off[mine] = x[:, 3] + (r - x[:, 0]) % x[:, 1] * s
             yield pdf.drop(columns="rank").assign(sequence_id=seq, offset=off)
 
-    return ranked.mapInPandas(place, PIECES + ", sequence_id long, offset long")
+    placed = ranked.mapInPandas(place, PIECES + ", sequence_id long, offset long")
+    return placed.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")

@@ -141,6 +141,8 @@ def test_packing_edge_cases(spark, odd, none):
     check_packing(got, 2048)
     assert sum(r["piece"] == 0 for r in got) == 9 and packing.pack(none, tokenizer_path()).count() == 0
     assert {r["length"] for r in got if r["doc_id"] in (1, 2, 5)} == {1}
+    big = 2**62 + 1
+    assert {r["doc_id"] for r in packing.pack(docs_of(spark, [(big, "a"), (None, "b")]), tokenizer_path()).collect()} == {big, None}
 
 
 # SimHash
