@@ -31,6 +31,12 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_shared(spark: SparkSession) -> None:
+    """Delete the tables of ``write_shared``, once no result needs them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/docloom")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def crc_fold(doc_id: str | Column = "doc_id") -> Column:
     """True for the rows held out of label learning: crc32 of the id's text is
     divisible by 5. A null id counts as held out."""

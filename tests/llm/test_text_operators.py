@@ -38,6 +38,17 @@ def labels(spark, small):
     return spark.read.parquet(f"{small}/labels.parquet")
 
 
+def test_shared_tables(spark):
+    from docloom.llm import common
+
+    kept = common.write_shared(spark.range(3), "t")
+    file = kept.inputFiles()[0]
+    assert kept.count() == 3
+    common.clear_shared(spark)
+    with pytest.raises(Exception, match="(?i)exist"):
+        spark.read.parquet(file)
+
+
 # mixing
 
 def brute_targets(sizes, weights=(5, 2, 1)):
