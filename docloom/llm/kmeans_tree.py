@@ -6,7 +6,7 @@ so far by the cosine of their centre, the best is opened next, and leaves come
 out in falling order of promise. How many leaves a query visits is calibrated:
 a sample of rows is searched by brute force over all rows, the visits are
 widened until the wanted recall is reached on them, and all queries use that
-number. Rows of a leaf are compared in double precision.
+number, or more until as many rows as asked for are seen. Rows of a leaf are compared in double precision.
 
 Leaves and the queries that visit them are cut into chunks of bounded size, so
 a leaf that holds a third of all rows is spread over many tasks, and a pair of
@@ -87,13 +87,15 @@ def leaves_of(tree: dict, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_bins(tree: dict, x: np.ndarray, visits: int) -> list[int]:
-    """The first ``visits`` leaves that best-bin-first traversal reaches."""
-    queue, out = [(-1.0, *tree["root"])], []
-    while queue and len(out) < visits:
+def best_bins(tree: dict, x: np.ndarray, visits: int, sizes: dict[int, int] | None = None, least: int = 0) -> list[int]:
+    """The first ``visits`` leaves that best-bin-first traversal reaches, and
+    more until they hold ``least`` rows by ``sizes``."""
+    queue, out, rows = [(-1.0, *tree["root"])], [], 0
+    while queue and (len(out) < visits or rows < least):
         _, kind, at = heapq.heappop(queue)
         if kind == "leaf":
             out.append(at)
+            rows += sizes.get(at, 0) if sizes else 0
             continue
         for s, child in zip((-(tree["centres"][at] @ x)).tolist(), tree["children"][at]):
             heapq.heappush(queue, (s, *child))
@@ -161,10 +163,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
 
     rows = write_shared(table.mapInPandas(place, "vec_id long, x array<double>, leaf int"), "leaves")
     visits = calibrate(rows, tree, k, dim)
+    sizes = {r["leaf"]: r["n"] for r in rows.groupBy("leaf").agg(F.count_distinct("vec_id").alias("n")).collect()}
 
     def route(batches):
         for pdf in batches:
-            bins = [best_bins(shared.value, v, visits) for v in unit(stack(pdf["x"], dim))]
+            bins = [best_bins(shared.value, v, visits, sizes, k + 1) for v in unit(stack(pdf["x"], dim))]
             yield pdf.assign(bins=bins)
 
     routed = write_shared(
@@ -173,11 +176,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     chunks = rows.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("nv")).join(
         routed.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK_QUERIES).cast("int").alias("nq")), "leaf"
     )
-    sizes = F.broadcast(write_shared(chunks, "chunks"))  # a row a leaf, and leaves are bounded by the sample
+    few = F.broadcast(write_shared(chunks, "chunks"))  # a row a leaf, and leaves are bounded by the sample
 
     def dealt(table: DataFrame, own: str, many: str, other: str, others: str) -> DataFrame:
         return (
-            table.join(sizes, "leaf")
+            table.join(few, "leaf")
             .withColumn(own, F.pmod(F.xxhash64("vec_id"), F.col(many)).cast("int"))
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
             .select("leaf", "cv", "cq", "vec_id", "x")

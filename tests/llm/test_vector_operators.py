@@ -84,4 +84,6 @@ def test_best_bins_open_in_order():
     x = kmeans_tree.unit(rng.normal(size=(2000, 8)))
     tree = kmeans_tree.build_tree(x)
     assert sorted(kmeans_tree.best_bins(tree, x[0], tree["leaves"])) == list(range(tree["leaves"]))
+    sizes = dict(enumerate(np.bincount(kmeans_tree.leaves_of(tree, x)).tolist()))
+    assert sum(sizes[b] for b in kmeans_tree.best_bins(tree, x[0], 1, sizes, 300)) >= 300
     assert (np.bincount(kmeans_tree.leaves_of(tree, x)) <= kmeans_tree.LEAF_ROWS).all()
