@@ -190,7 +190,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         lines.select("doc", "row_key", "line_no", "h").distinct()
         .join(roots.withColumnRenamed("node", "h"), "h", "left")
         .select("doc", "row_key", "line_no", F.coalesce("root", "h").alias("class_id")), "placed")
-    first = placed.groupBy("class_id").agg(F.min(F.struct("doc", "row_key", "line_no")).alias("f"))
+    # Written first, the join's two shuffles are its own and skewed ones are split.
+    first = write_shared(placed.groupBy("class_id").agg(F.min(F.struct("doc", "row_key", "line_no")).alias("f")), "first")
     return placed.join(first, "class_id").select(
         "doc", "row_key", "line_no", "class_id", F.struct("doc", "row_key", "line_no").eqNullSafe(F.col("f")).alias("first")
     )
@@ -202,7 +203,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         classes(docs, id_col, text_col).filter("not first").groupBy("row_key").agg(F.collect_set("line_no").alias("gone")), "gone"
     )
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(id_col), text).alias("row_key")).join(gone, "row_key", "left")
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(id_col), text).alias("row_key")).join(
+        gone.hint("merge"), "row_key", "left"  # as many rows as documents with a repeated line: never a broadcast
+    )
     source = F.col("row")[text_col]
     kept = F.array_join(F.filter(F.split(source, "\n", -1), lambda line, i: ~F.array_contains("gone", i)), "\n")
     return keyed.select(F.col("row").withField(text_col, F.when(F.col("gone").isNull(), source).otherwise(kept)).alias("row")).select("row.*")

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -37,7 +38,7 @@ from docloom.llm.common import write_shared
 #: Mean rows of one (length, bucket) group never exceed this.
 GROUP_ROWS = 512
 #: Known chunks that a Python worker keeps before it starts anew.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 300_000
 #: Texts with these go to the tokenizer whole: white space and case on which
 #: Python and the tokenizer may differ, and strings of special tokens.
 PLAIN = re.compile("[\x1c-\x1f\x85Σİ]|<\\|")
@@ -46,48 +47,81 @@ PLAIN = re.compile("[\x1c-\x1f\x85Σİ]|<\\|")
 PIECES = "doc_id long, no_id boolean, piece int, start long, length long, ids_crc32 long"
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    import os
+#: Fixed value: what the tokenizer takes for one word; a word's ids depend on
+#: nothing around it.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    from tokenizers import Tokenizer
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Tokenizer.from_file(path), {}
+class _Recent(dict):
+    """A cache of bounded size: at ``CACHE_CHUNKS`` entries it begins anew, and
+    what is asked for again is taken over from before."""
 
+    def __init__(self) -> None:
+        super().__init__()
+        self.before: dict = {}
 
-def _whole(tok, text: str) -> bytes:
-    return np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def __missing__(self, key: str) -> bytes:
+        self[key] = found = self.before[key]
+        return found
 
+    def turn(self) -> None:
+        if len(self) > CACHE_CHUNKS:
+            self.before = dict(self)
+            self.clear()
 
-def encode(texts: list[str], path: str) -> Iterator[bytes]:
-    """Token ids of each text as little-endian 32-bit words.
 
-    The tokenizer lower-cases, drops white space and never looks across it, so
-    a text's ids are those of its chunks, which are looked up in a cache.
-    """
-    import unicodedata
+class _Encoder:
+    """A tokenizer with the ids of the chunks and words seen lately."""
 
-    tok, known = _tokenizer(path)
-    for text in texts:
-        if not text:
-            yield b""
-            continue
+    def __init__(self, path: str):
+        import os
+
+        import regex
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer, self.split = Tokenizer.from_file(path), regex.compile(SPLIT)
+        self.chunks, self.words = _Recent(), _Recent()
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def learn(self, chunks: set[str]) -> None:
+        """Work out the ids of new chunks from their words."""
+        parts = {c: self.split.findall(c) for c in chunks}
+        new = list({w for ws in parts.values() for w in ws if w not in self.words and w not in self.words.before})
+        for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.words[word] = np.array(e.ids, dtype="<u4").tobytes()
+        for chunk, words in parts.items():
+            self.chunks[chunk] = b"".join([self.words[w] for w in words])
+
+    def encode(self, text: str) -> bytes:
         if PLAIN.search(text) or not unicodedata.is_normalized("NFC", text):
-            yield _whole(tok, text)
-            continue
-        chunks = text.lower().split()
+            return self.whole(text)
+        chunks, known = text.lower().split(), self.chunks
         try:
-            yield b"".join([known[c] for c in chunks])
-            continue
+            return b"".join([known[c] for c in chunks])
         except KeyError:
-            pass
-        if len(known) > CACHE_CHUNKS:
-            known.clear()
-        new = list({c for c in chunks if c not in known})
-        for chunk, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False)):
-            known[chunk] = np.array(e.ids, dtype="<u4").tobytes()
-        yield b"".join([known[c] for c in chunks])
+            known.turn()
+            self.words.turn()
+            self.learn({c for c in chunks if c not in known and c not in known.before})
+            return b"".join([known[c] for c in chunks])
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> _Encoder:
+    return _Encoder(path)
+
+
+def encode(texts: list[str | None], path: str) -> Iterator[bytes]:
+    """Token ids of each text as little-endian 32-bit words.
+
+    The tokenizer lower-cases, drops white space and never looks across it, so
+    a text's ids are those of its chunks, and these of their words.
+    """
+    own = _encoder(path)
+    for text in texts:
+        yield own.encode(text) if text else b""
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

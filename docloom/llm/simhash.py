@@ -197,14 +197,15 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, id_col: st
     """``(doc_id, fp, component_id)`` of every row; ``component_id`` is the least
     id reachable through links, the row's own included."""
     rows = write_shared(grouped(docs, radius, width, id_col, text_col), "grouped")
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # Written first, the join's two shuffles are its own and skewed ones are split.
+    least = write_shared(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     return rows.join(least, "root").select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, radius: int = 3, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with the least id of their component, one each."""
     rows = write_shared(grouped(docs, radius, width, id_col, text_col), "grouped")
-    least = rows.groupBy("root").agg(F.min(F.struct("doc_id", "row_key")).alias("least"))
+    least = write_shared(rows.groupBy("root").agg(F.min(F.struct("doc_id", "row_key")).alias("least")), "least")
     gone = write_shared(
         rows.join(least, "root").filter(~F.struct("doc_id", "row_key").eqNullSafe(F.col("least"))).select("row_key").distinct(), "gone"
     )
