@@ -204,7 +204,11 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, id_col: st
 
 def representatives(docs: DataFrame, radius: int = 3, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with the least id of their component, one each."""
-    rows = write_shared(grouped(docs, radius, width, id_col, text_col), "grouped")
+    return one_each(docs, write_shared(grouped(docs, radius, width, id_col, text_col), "grouped"), id_col, text_col)
+
+
+def one_each(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` with the least id of their root in ``rows(doc_id, row_key, root)``."""
     least = write_shared(rows.groupBy("root").agg(F.min(F.struct("doc_id", "row_key")).alias("least")), "least")
     gone = write_shared(
         rows.join(least, "root").filter(~F.struct("doc_id", "row_key").eqNullSafe(F.col("least"))).select("row_key").distinct(), "gone"
