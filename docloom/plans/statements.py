@@ -54,6 +54,11 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
     "join_in_subquery": "SELECT o_orderkey FROM {tpch.sales.orders} WHERE o_custkey IN (SELECT c_custkey FROM {tpch.sales.customer} WHERE c_mktsegment = 'BUILDING')",
     "join_json_each": ("SELECT e.event_id, v.key AS member, cast(v.value AS bigint) AS x FROM {app.stream.events} e, LATERAL variant_explode(try_parse_json(e.props)) v WHERE e.event_id % 10 = 0",
                        "SELECT event_id, 'k' AS member, CAST(json_extract(props, '$.k') AS BIGINT) AS x FROM events WHERE event_id % 10 = 0"),
+    # Whole tables, where the statements of these names above take a part.
+    "join_json_each_all": ("SELECT e.event_id, v.key AS member, cast(v.value AS bigint) AS x FROM {app.stream.events} e, LATERAL variant_explode(try_parse_json(e.props)) v",
+                           "SELECT event_id, m AS member, CAST(json_extract(props, '$.\"' || m || '\"') AS BIGINT) AS x FROM (SELECT event_id, props, unnest(json_keys(props)) AS m FROM events)"),
+    "join_full_all": "SELECT c.c_custkey, s.s_suppkey FROM {tpch.sales.customer} c FULL OUTER JOIN {tpch.catalog.supplier} s ON c.c_custkey = 20 * s.s_suppkey",
+    "sql_quoted_identifiers_all": ("SELECT `c_name` AS `the name` FROM {tpch.sales.customer}", 'SELECT c_name AS "the name" FROM customer'),
     # Aggregates.
     "agg_count_where": "SELECT count(*) AS n, count(o_custkey) AS m FROM {tpch.sales.orders} WHERE o_orderstatus = 'F'",
     "agg_sum_empty": "SELECT sum(p_size) AS s, count(*) AS n FROM {tpch.catalog.part} WHERE p_size < 0",
