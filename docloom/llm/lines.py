@@ -1,7 +1,8 @@
 """Line dedup by a segment-partition edit join.
 
-Lines of at least ``LEAST`` characters take part; two of them link if at most
-``EDITS`` insertions, deletions and substitutions apart. A line is cut into
+Two lines of at least ``LEAST`` characters link if at most ``EDITS`` insertions,
+deletions and substitutions apart; a shorter line, where these would be a large
+part of it, has only its equals in its class. A line that can link is cut into
 ``EDITS + 1`` segments by its length; of two lines that link, the shorter has
 a segment that occurs in the longer one, near its place. An index holds every
 line's segments by length, ordinal and hash. Lines probe it with just the
@@ -17,8 +18,9 @@ and the later ones go. A line is known by a 64-bit hash of its text: n
 different lines have a chance of about n * n / 2**65 that some two are mixed
 up.
 
-Defined cases: null and empty texts have no line that takes part; lines below
-``LEAST`` characters always stay; rows equal in id and text count as one row
+Defined cases: null and empty texts have no line that takes part; nor have
+blank lines below ``LEAST`` characters; ``deduplicated`` leaves all lines below
+``LEAST`` characters where they are; rows equal in id and text count as one row
 and lose the same lines; rows with a null id come before all others; an empty
 table gives an empty result.
 """
@@ -30,10 +32,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import small_side, write_shared
+from docloom.llm.common import WORD, small_side, write_shared
 from docloom.llm.components import components
 
-#: Edits between linked lines, and characters of a line that takes part.
+#: Edits between linked lines, and characters of a line that may have any.
 EDITS, LEAST = 2, 24
 #: Lines of one segment beyond which it alone makes no candidates.
 HOT = 8
@@ -42,11 +44,12 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 200_000
 
 
-def exploded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc, row_key, line_no, line, h)`` of the lines that take part."""
+def exploded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 1) -> DataFrame:
+    """``(doc, row_key, line_no, line, h)`` of the lines of ``least`` characters that take part."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(id_col), text).alias("row_key"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    return d.filter(F.length("line") >= LEAST).withColumn("h", F.xxhash64("line"))
+    size = F.length("line")
+    return d.filter((size >= least) & ((size >= LEAST) | F.col("line").rlike(WORD))).withColumn("h", F.xxhash64("line"))
 
 
 def _segments(length: Column) -> list[tuple[Column, Column]]:
@@ -169,7 +172,8 @@ def _meet(index: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def links(lines: DataFrame) -> DataFrame:
-    """Verified pairs ``(a, b)`` of line hashes."""
+    """Verified pairs ``(a, b)`` of line hashes, of lines of ``LEAST`` characters."""
+    lines = lines.filter(F.length("line") >= LEAST)
     pairs = write_shared(candidates(lines), "candidates")
     wanted = write_shared(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "wanted")
     texts = write_shared(
@@ -179,12 +183,12 @@ def links(lines: DataFrame) -> DataFrame:
     return both.filter(within(F.col("x"), F.col("y"))).select("a", "b")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc, row_key, line_no, class_id, first)`` of every line that takes part.
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 1) -> DataFrame:
+    """``(doc, row_key, line_no, class_id, first)`` of every line of ``least`` characters that takes part.
 
     ``class_id`` is the same for linked lines; ``first`` marks the one that stays.
     """
-    lines = exploded(docs, id_col, text_col)
+    lines = exploded(docs, id_col, text_col, least)
     roots = components(links(lines))
     placed = write_shared(
         lines.select("doc", "row_key", "line_no", "h").distinct()
@@ -198,9 +202,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the later lines of every class taken out of the text."""
+    """``docs`` with the later lines of every class taken out of the text, but for short ones."""
     gone = write_shared(
-        classes(docs, id_col, text_col).filter("not first").groupBy("row_key").agg(F.collect_set("line_no").alias("gone")), "gone"
+        classes(docs, id_col, text_col, LEAST).filter("not first").groupBy("row_key").agg(F.collect_set("line_no").alias("gone")), "gone"
     )
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(id_col), text).alias("row_key")).join(
