@@ -1,251 +1,383 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word prefixes (stems under any ending). Those that tell
-toxic from other labelled texts apart, by the likelihood-ratio statistic, make
-the vocabulary; document frequencies are counted over all documents. Labelled
-examples are held in an inverted index whose postings are cut into blocks with
-their largest weight. A text's bound on each block comes from those maxima;
-blocks are opened in falling order of bound until the k-th best cosine found
-is at least the next bound, so the neighbours are exact. Their votes, weighted
-by cosine and by the classes' share of labels, are calibrated by a logistic
-curve on labelled texts outside the index.
-
-Only bounded labelled samples are fitted on; all texts are scored whole.
-
-Defined cases: a text without any vocabulary term (null and empty ones too)
+Terms are words and stems (the first ``STEM`` letters of longer words), known
+by 64-bit hashes. Every term of every indexed example takes part, on both sides, and
+vectors have length 1 over all of them. A term weighs its log frequency in the
+text, times its inverse document frequency over all documents, times how far
+it tells the classes of the examples apart: g / (g + ``HALF_GAIN``), g being
+its likelihood-ratio statistic, whichever class it points to. Without that
+last factor the neighbours follow the topic and not the label. A term that no
+example holds tells nothing apart (g = 0), and so weighs nothing.
+
+Examples are held in an inverted index whose postings are cut into blocks of
+examples; frequent terms have the largest weight of each block. What the rare
+terms add up to and the maxima of the others bound every block; the blocks of
+the largest bounds are opened first, then all whose bound reaches the k-th
+best cosine found, so the neighbours are exact. Their votes, weighted by
+cosine and by the classes' share of labels, are calibrated by a logistic curve
+on labelled texts outside the index.
+
+Only labelled samples bounded by ``SAMPLE_ROWS`` are fitted on; document
+frequencies are counted over all documents, and all texts are scored whole.
+
+Defined cases: a text without any term of the index (null and empty ones too)
 has no neighbour and gets the calibrated share of such texts; ties between
-neighbours go to the smaller example id; without labels of both classes every
-score is 0.5.
+neighbours go to the example that comes first in the index; labelled rows
+that repeat are fitted on as often as they occur, and an id marked both ways
+counts as marked 1; other columns are never read, whatever their names; an
+empty table gives an empty result. Without labels of both classes there is no
+model: every score is 0 and no text is called toxic.
 """
 
 from __future__ import annotations
 
-import pickle
 import re
 from collections import Counter
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import crc_fold, labelled_sample, write_shared
 from docloom.llm.quality import fit_logistic
 
-#: Labelled rows a class, terms of the vocabulary, neighbours, block length.
-SAMPLE_ROWS, TERMS, NEIGHBOURS, BLOCK = 6000, 512, 15, 64
-PREFIXES = (4, 5, 6)
+#: Labelled rows a class, neighbours, examples of a block.
+SAMPLE_ROWS, NEIGHBOURS, BLOCK = 6000, 15, 64
+#: Likelihood-ratio statistic at which a term weighs half of what it can.
+HALF_GAIN = 11.0
+#: A term in this share of the examples is frequent; blocks opened at first.
+FREQUENT, FIRST_BLOCKS = 1 / 16, 8
+#: Texts whose neighbours are looked for together.
+TEXTS = 64
+#: Chunks of text whose terms a task remembers, and letters of a word's stem.
+KNOWN_CHUNKS, STEM = 100_000, 4
 LETTERS = re.compile(r"[^\W\d_]+")
-SCORE = "score double, neighbours array<struct<doc_id: long, cosine: double, label: int>>"
-
-
-def terms_of(chunk: str) -> list[str]:
-    """The terms of a lower-case run without white space."""
-    out = []
-    for word in LETTERS.findall(chunk):
-        out.append(word + "$")
-        out += [word[:n] for n in PREFIXES if len(word) >= n]
-    return out
-
-
-class _Known(dict):
-    """Chunk -> term numbers, worked out on first sight and bounded in size."""
-
-    def __init__(self, vocabulary: dict[str, int], most: int = 500_000):
-        super().__init__()
-        self.vocabulary, self.most = vocabulary, most
-
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        if len(self) > self.most:
-            self.clear()
-        found = tuple(self.vocabulary[t] for t in terms_of(chunk) if t in self.vocabulary)
-        self[chunk] = found
-        return found
-
-
-def counts_of(text: str | None, known: _Known) -> Counter:
-    """Occurrences of vocabulary terms in the whole text."""
-    total: Counter = Counter()
-    for found in filter(None, map(known.__getitem__, (text or "").lower().split())):
-        total.update(found)
-    return total
+#: What single precision may be off by in a cosine.
+SLACK = 3e-6
+NEAR = "array<struct<doc_id: long, cosine: double, label: int>>"
+
+
+class Terms:
+    """Texts as terms, by their place in a sorted vocabulary of term hashes
+    (or by hash, without one). What chunks stand for is remembered within
+    bounds and goes with the object."""
+
+    def __init__(self, vocabulary: np.ndarray | None = None):
+        self.vocabulary = vocabulary
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places: dict[str, int] = {}
+        self.more: dict[str, list[int]] = {}
+        self.pairs, self.used = np.empty((2 * KNOWN_CHUNKS, 2), np.int64), 0
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Note each word's own term and its stem's; -1 stands for none."""
+        import xxhash
+
+        h = xxhash.xxh64_intdigest
+        words: list[str] = []
+        for chunk in chunks:
+            found = LETTERS.findall(chunk)
+            self.places[chunk] = self.used + len(words)
+            if len(found) > 1:
+                self.more[chunk] = list(range(self.used + len(words) + 1, self.used + len(words) + len(found)))
+            words += found or [""]
+        named = [i for i, w in enumerate(words) if w]
+        stems = [i for i in named if len(words[i]) > STEM]
+        hashes = np.array([h(words[i] + "$") for i in named] + [h(words[i][:STEM]) for i in stems], dtype=np.uint64).view(np.int64)
+        if self.vocabulary is not None:
+            at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+            hashes = np.where(self.vocabulary[at] == hashes, at, -1) if len(self.vocabulary) else np.full(len(hashes), -1)
+        end = self.used + len(words)
+        if end > len(self.pairs):
+            self.pairs = np.concatenate([self.pairs, np.empty((end, 2), np.int64)])
+        self.pairs[self.used : end] = -1
+        self.pairs[self.used + np.array(named, np.int64), 0] = hashes[: len(named)]
+        self.pairs[self.used + np.array(stems, np.int64), 1] = hashes[len(named) :]
+        self.used = end
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of the whole text in order, and how often each occurs."""
+        chunks = Counter((text or "").lower().split())
+        if len(self.places) + len(chunks) > KNOWN_CHUNKS:
+            self._forget()
+        if new := [c for c in chunks if c not in self.places]:
+            self._learn(new)
+        rows = list(map(self.places.__getitem__, chunks))
+        times = list(chunks.values())
+        for chunk in self.more.keys() & chunks.keys():
+            rows += self.more[chunk]
+            times += [chunks[chunk]] * len(self.more[chunk])
+        pairs = self.pairs[np.array(rows, np.int64)].ravel()
+        counts = np.repeat(np.array(times, np.int64), 2)
+        held = pairs != -1
+        order = np.argsort(pairs[held], kind="stable")
+        pairs, counts = pairs[held][order], counts[held][order]
+        if not len(pairs):
+            return pairs, counts
+        first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+        return pairs[first], np.add.reduceat(counts, first)
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
 
 
 class Index:
     """Examples as block-max postings; ``nearest`` is exact."""
 
     def __init__(self, vectors: list[dict[int, float]], terms: int):
+        self._build([(np.array(list(v), np.int64), np.array(list(v.values()))) for v in vectors], terms)
+
+    @classmethod
+    def of(cls, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> Index:
+        """The index of vectors given as terms and their weights."""
+        own = cls.__new__(cls)
+        own._build(vectors, terms)
+        return own
+
+    def _build(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> None:
         self.blocks = -(-len(vectors) // BLOCK)
-        self.most = np.zeros((terms, self.blocks))
-        self.postings: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
-        for i, v in enumerate(vectors):
-            b = i // BLOCK
-            for t, w in v.items():
-                self.most[t, b] = max(self.most[t, b], w)
-                slots, weights = self.postings.setdefault((t, b), ([], []))
-                slots.append(i % BLOCK)
-                weights.append(w)
-        self.postings = {k: (np.array(s), np.array(w)) for k, (s, w) in self.postings.items()}
+        own = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
+        all_terms = np.concatenate([np.empty(0, np.int64), *(t for t, _ in vectors)])
+        weights = np.concatenate([np.empty(0), *(w for _, w in vectors)])
+        # Forward: the terms of each example in order, for its exact cosine.
+        order = np.lexsort((all_terms, own))
+        self.own_terms, self.own_weights = all_terms[order].astype(np.int32), weights[order]
+        self.own_starts = np.searchsorted(own, np.arange(len(vectors) + 1))
+        order = np.lexsort((own, all_terms))
+        self.slots, self.weights = own[order], weights[order].astype(np.float32)
+        self.starts = np.searchsorted(all_terms[order], np.arange(terms + 1))
+        frequent = np.flatnonzero(np.diff(self.starts) > FREQUENT * len(vectors))
+        self.row = np.full(terms, -1, np.int32)
+        self.row[frequent] = np.arange(len(frequent))
+        # A frequent term's postings are kept with their gaps: one weight a slot.
+        self.dense = np.zeros((len(frequent), self.blocks * BLOCK), np.float32)
+        for r, t in enumerate(frequent):
+            a, b = self.starts[t], self.starts[t + 1]
+            self.dense[r, self.slots[a:b]] = self.weights[a:b]
+        self.most = self.dense.reshape(len(frequent), self.blocks, BLOCK).max(axis=2, initial=0)
+        self.asked = np.zeros(terms)
 
     def nearest(self, vector: tuple[tuple[int, float], ...], k: int) -> list[tuple[float, int]]:
         """``(cosine, example)`` of the k largest positive cosines."""
-        if not vector or not self.blocks:
-            return []
-        terms, weights = [t for t, _ in vector], np.array([w for _, w in vector])
-        bound = weights @ self.most[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
-                break
-            sums = np.zeros(BLOCK)
-            for t, w in vector:
-                if (p := self.postings.get((t, b))) is not None:
-                    sums[p[0]] += w * p[1]
-            best += [(-sums[s], int(b) * BLOCK + int(s)) for s in np.nonzero(sums)[0]]
-            best.sort()
-            del best[k:]
-        return [(-s, i) for s, i in best]
-
-
-def weigh(counts: dict[int, int], idf: np.ndarray) -> tuple[tuple[int, float], ...]:
-    """Unit TF-IDF vector of term counts."""
-    raw = {t: (1 + np.log(n)) * idf[t] for t, n in sorted(counts.items())}
-    norm = np.sqrt(sum(w * w for w in raw.values()))
-    return tuple((t, float(w / norm)) for t, w in raw.items())
+        vector = sorted(vector)
+        return self.search(np.array([t for t, _ in vector], np.int64), np.array([w for _, w in vector]), k)
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The same for a vector given as terms in order and their weights."""
+        return self.search_many([(terms, weights)], k)[0]
+
+    def search_many(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        """The same for some vectors. Those whose bounds leave most blocks are
+        opened in one matrix product."""
+        out: list[list[tuple[float, int]]] = [[] for _ in vectors]
+        whole = []
+        for i, (terms, weights) in enumerate(vectors):
+            if not len(terms) or not self.blocks:
+                continue
+            row = self.row[terms]
+            rare, often = row < 0, row >= 0
+            starts = self.starts[terms[rare]]
+            lengths = self.starts[terms[rare] + 1] - starts
+            at = _ranges(starts, lengths)
+            sums = np.bincount(self.slots[at], self.weights[at] * np.repeat(weights[rare], lengths), minlength=self.blocks * BLOCK).reshape(-1, BLOCK)
+            rows, light = row[often], weights[often].astype(np.float32)
+            # Sums are in single precision; the bounds allow for what that is off by.
+            bound = sums.max(axis=1) + light @ self.most[rows] + SLACK
+            order = np.argsort(-bound, kind="stable")
+            first, rest = order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]
+            found = self._opened(sums, first, rows, light)
+            least = max(SLACK, np.partition(found.ravel(), -k)[-k] - SLACK) if found.size >= k else SLACK
+            rest = rest[bound[rest] >= least]
+            if 4 * len(rest) > self.blocks:
+                whole.append((i, sums, rows, light))
+                continue
+            if len(rest):
+                found, first = np.concatenate([found, self._opened(sums, rest, rows, light)]), np.concatenate([first, rest])
+            out[i] = self._best(terms, weights, found, first, k)
+        if whole:
+            asked = np.zeros((len(whole), len(self.dense)), np.float32)
+            for j, (_, _, rows, light) in enumerate(whole):
+                asked[j, rows] = light
+            for (i, sums, _, _), added in zip(whole, asked @ self.dense):
+                out[i] = self._best(*vectors[i], sums + added.reshape(-1, BLOCK), np.arange(self.blocks), k)
+        return out
+
+    def _best(self, terms: np.ndarray, weights: np.ndarray, found: np.ndarray, blocks: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The k best of the examples of ``blocks``, ``found`` being about their cosines."""
+        near = found.ravel()
+        at = np.flatnonzero(near >= np.partition(near, -k)[-k] - 2 * SLACK) if near.size > k else np.arange(near.size)
+        places = blocks[at // BLOCK] * BLOCK + at % BLOCK
+        places = places[places < len(self.own_starts) - 1]
+        near = self._cosines(terms, weights, places)
+        near, places = near[near > 0], places[near > 0]
+        best = np.lexsort((places, -near))[:k]
+        return list(zip(near[best].tolist(), places[best].tolist()))
+
+    def _cosines(self, terms: np.ndarray, weights: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Cosines of some examples in double precision."""
+        starts = self.own_starts[places]
+        lengths = self.own_starts[places + 1] - starts
+        at = _ranges(starts, lengths)
+        self.asked[terms] = weights
+        products = self.asked[self.own_terms[at]] * self.own_weights[at]
+        self.asked[terms] = 0.0
+        return np.bincount(np.repeat(np.arange(len(places)), lengths), products, minlength=len(places))
+
+    def _opened(self, sums: np.ndarray, blocks: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The cosines of the examples of some blocks, in single precision."""
+        return sums[blocks] + np.tensordot(weights, self.dense.reshape(len(self.dense), -1, BLOCK)[rows[:, None], blocks[None, :]], 1)
+
+
+def weigh(counts: dict[int, int], factor: np.ndarray) -> tuple[tuple[int, float], ...]:
+    """Unit vector of term counts under the factors of all terms."""
+    terms = sorted(counts)
+    return tuple(zip(terms, weighed(np.array([counts[t] for t in terms]), factor[terms]).tolist()))
+
+
+def weighed(counts: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """Unit vector of term counts under the terms' factors (all zero, if these are)."""
+    raw = (1 + np.log(counts)) * factor
+    return raw / (np.sqrt((raw * raw).sum()) or 1.0)
 
 
 class Scorer:
-    """What an executor needs to score a text."""
+    """What a task needs to score texts; ``model`` is only read."""
 
     def __init__(self, model: dict):
-        self.model, self.known = model, _Known(model["vocabulary"])
-        self.index = Index([dict(v) for v in model["vectors"]], len(model["idf"]))
-        self.seen: dict = {}
-
-    def votes(self, counts: Counter) -> tuple[tuple[float, float], list[tuple[float, int]]]:
-        """Log odds of the weighted votes and their mass, with the neighbours."""
-        key = tuple(sorted(counts.items()))
-        if key not in self.seen:
-            if len(self.seen) > 100_000:
-                self.seen.clear()
-            m = self.model
-            near = self.index.nearest(weigh(counts, m["idf"]), NEIGHBOURS)
-            mass = np.array([0.0, 0.0])
-            for cosine, i in near:
-                mass[m["labels"][i]] += cosine**2 * m["weight"][m["labels"][i]]
-            mass += 0.05 * np.array([1 - m["base"], m["base"]])
-            self.seen[key] = (float(np.log(mass[1] / mass[0])), float(np.log(1 + sum(counts.values())))), near
-        return self.seen[key]
-
-    def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        x, near = self.votes(counts_of(text, self.known))
-        a, b, c = self.model["curve"]
-        return float(1 / (1 + np.exp(-np.clip(a * x[0] + b * x[1] + c, -30, 30)))), near
-
-
-@lru_cache(maxsize=2)
-def _scorer(packed: bytes) -> Scorer:
-    return Scorer(pickle.loads(packed))
-
-
-def _vocabulary(sample: DataFrame, totals: dict[int, int]) -> dict[str, int]:
-    def emit(batches):
-        for pdf in batches:
-            seen: Counter = Counter()
-            for text, label in zip(pdf["text"], pdf["label"]):
-                for t in {t for c in set(text.lower().split()) for t in terms_of(c)}:
-                    seen[t, label] += 1
-            yield pd.DataFrame([(t, int(y), n) for (t, y), n in seen.items()], columns=["term", "label", "n"])
-
-    a, b, big_a, big_b = F.col("a"), F.col("b"), F.lit(float(totals[1])), F.lit(float(totals[0]))
+        self.model, self.terms = model, Terms(model["vocabulary"])
+
+    def votes(self, texts: list[str | None]) -> Iterator[tuple[tuple[float, float], list[tuple[float, int]]]]:
+        """For each text the log odds of the weighted votes and its size, and its neighbours."""
+        m = self.model
+        for at in range(0, len(texts), TEXTS):
+            counted = [self.terms.counts(t) for t in texts[at : at + TEXTS]]
+            found = m["index"].search_many([(t, weighed(n, m["factor"][t])) for t, n in counted], NEIGHBOURS)
+            for (_, counts), near in zip(counted, found):
+                mass = 0.05 * np.array([1 - m["base"], m["base"]])
+                for cosine, i in near:
+                    mass[m["labels"][i]] += cosine**2 * m["weight"][m["labels"][i]]
+                yield (float(np.log(mass[1] / mass[0])), float(np.log(1 + counts.sum()))), near
+
+
+def gain(a: np.ndarray, b: np.ndarray, big_a: int, big_b: int) -> np.ndarray:
+    """Likelihood-ratio statistic of terms in ``a`` of ``big_a`` and ``b`` of ``big_b`` texts."""
     rate = (a + b) / (big_a + big_b)
-    part = lambda x, expected: F.when(x > 0, x * F.log(x / expected)).otherwise(0.0)
-    gain = 2 * sum(
-        (part(x, e) for x, e in ((a, big_a * rate), (b, big_b * rate), (big_a - a, big_a * (1 - rate)), (big_b - b, big_b * (1 - rate)))),
-        F.lit(0.0),
-    )
-    rows = (
-        sample.select("text", "label")
-        .mapInPandas(emit, "term string, label int, n long")
-        .groupBy("term")
-        .agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
-        .filter((a >= 3) & (a / big_a > 2 * b / big_b))
-        .withColumn("gain", gain)
-        .filter("gain > 11")
-        .orderBy(F.desc("gain"), "term")
-        .limit(TERMS)
-        .collect()
-    )
-    return {r["term"]: i for i, r in enumerate(rows)}
+    part = lambda x, e: np.where(x > 0, x * np.log(np.maximum(x, 1e-300) / np.maximum(e, 1e-300)), 0.0)
+    return np.maximum(0.0, 2 * (part(a, big_a * rate) + part(b, big_b * rate) + part(big_a - a, big_a * (1 - rate)) + part(big_b - b, big_b * (1 - rate))))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE_ROWS) -> dict | None:
-    """Vocabulary, document frequencies, examples and calibration."""
-    sample = write_shared(labelled_sample(docs, labels, label, per_class), "labelled")
-    totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(totals) < 2:
-        return None
-    share = {r["y"]: r["n"] for r in labels.filter(F.col(label).isin(0, 1) & ~crc_fold()).groupBy(F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
-    vocabulary = _vocabulary(sample, totals)
+def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many documents each term is, and how many there are."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def frequencies(batches):
-        known, n, seen = _Known(vocabulary), 0, Counter()
+    def counted(batches):
+        terms, n, seen = Terms(shared.value), 0, np.zeros(len(shared.value), np.int64)
         for pdf in batches:
             n += len(pdf)
             for text in pdf["text"]:
-                seen.update(counts_of(text, known).keys())
-        yield pd.DataFrame([(-1, n), *seen.items()], columns=["term", "n"])
+                seen[terms.counts(text)[0]] += 1
+        held = np.flatnonzero(seen)
+        yield pd.DataFrame({"term": np.append(held, -1), "n": np.append(seen[held], n)}).astype({"term": "int32"})
+
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(counted, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(len(vocabulary), np.int64)
+    terms, n = found["term"].to_numpy(), found["n"].to_numpy()
+    out[terms[terms >= 0]] = n[terms >= 0]
+    return out, int(n[terms < 0].sum())
 
-    df = {r["term"]: r["n"] for r in docs.select(F.col("text").cast("string").alias("text")).mapInPandas(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    total = df.pop(-1, 0)
-    idf = np.array([1 + np.log((1 + total) / (1 + df.get(i, 0))) for i in range(len(vocabulary))])
 
-    def vectors(batches):
-        known = _Known(vocabulary)
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE_ROWS) -> dict | None:
+    """Vocabulary, term factors, indexed examples and calibration.
+
+    Half of the sample, dealt by a hash of the id, makes the examples and the
+    other half the calibration; where a half lacks a class, both are all of it.
+    """
+    sample = write_shared(labelled_sample(docs, labels, label, per_class).withColumn("inside", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(2)) == 0), "labelled")
+    totals = {(r["inside"], r["label"]): r["n"] for r in sample.groupBy("inside", "label").agg(F.count("*").alias("n")).collect()}
+    if len({y for _, y in totals}) < 2:
+        return None
+    halves = len(totals) == 4
+    examples, rest = (sample.filter("inside"), sample.filter("not inside")) if halves else (sample, sample)
+    usable = labels.filter(F.col(label).isin(0, 1) & ~crc_fold())
+    share = {r["y"]: r["n"] for r in usable.groupBy(F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+
+    def made(batches):
+        terms = Terms()
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "counts": [dict(counts_of(t, known)) for t in pdf["text"]]})
-
-    found = [
-        (r["doc_id"], r["label"], r["counts"])
-        for r in sample.mapInPandas(vectors, "doc_id long, label int, counts map<int, int>").orderBy("doc_id", "label").collect()
-    ]
-    inside = [i % 2 == 0 for i in range(len(found))]
-    examples = sorted((min(c, default=0), d, y, c) for (d, y, c), own in zip(found, inside) if own and c)
-    weight = {y: share[y] / totals[y] for y in (0, 1)}
+            both = [terms.counts(t) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "terms": [t.tobytes() for t, _ in both], "counts": [n.astype(np.int32).tobytes() for _, n in both]})
+
+    found = examples.mapInPandas(made, "doc_id long, label int, terms binary, counts binary").orderBy("doc_id", "label", "terms", "counts").toPandas()
+    hashes = [np.frombuffer(x, np.int64) for x in found["terms"]]
+    counts = [np.frombuffer(x, np.int32) for x in found["counts"]]
+    y = found["label"].to_numpy(np.int64)
+    own = np.repeat(y, [len(h) for h in hashes])
+    vocabulary, places = np.unique(np.concatenate([np.empty(0, np.int64), *hashes]), return_inverse=True)
+    in_class = [np.bincount(places[own == v], minlength=len(vocabulary)) for v in (1, 0)]
+    df, total = frequencies(docs, vocabulary)
+    g = gain(*in_class, int((y == 1).sum()), int((y == 0).sum()))
+    factor = (1 + np.log((1 + total) / (1 + df))) * g / (g + HALF_GAIN)
+    split = np.split(places, np.cumsum([len(h) for h in hashes])[:-1])
+    vectors = [(t, weighed(n, factor[t])) for t, n in zip(split, counts)]
+    # Examples with the same heaviest term lie in the same blocks.
+    heaviest = np.array([t[np.argmax(w)] if len(t) else -1 for t, w in vectors])
+    order = np.lexsort((found["doc_id"].to_numpy(), heaviest))
+    weight = {v: share[v] / sum(n for (inside, c), n in totals.items() if c == v and (inside or not halves)) for v in (0, 1)}
     model = {
         "vocabulary": vocabulary,
-        "idf": idf,
-        "ids": [d for _, d, _, _ in examples],
-        "labels": [y for _, _, y, _ in examples],
-        "vectors": [weigh(c, idf) for _, _, _, c in examples],
+        "factor": factor,
+        "ids": found["doc_id"].to_numpy()[order],
+        "labels": y[order],
+        "index": Index.of([vectors[i] for i in order], len(vocabulary)),
         "weight": weight,
         "base": share[1] / (share[0] + share[1]),
-        "curve": [1.0, 0.0, 0.0],
     }
-    scorer = Scorer(model)
-    rest = [(y, c) for (_, y, c), own in zip(found, inside) if not own] or [(y, c) for _, y, c in found]
-    x = np.array([scorer.votes(Counter(c))[0] for _, c in rest])
-    y = np.array([float(y) for y, _ in rest])
-    model["curve"] = fit_logistic(x, y, np.array([weight[int(v)] for v in y]) / np.mean(list(weight.values())))
-    return model
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def voted(batches):
+        scorer = Scorer(shared.value)
+        for pdf in batches:
+            x = np.array([x for x, _ in scorer.votes(pdf["text"].tolist())]).reshape(-1, 2)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "odds": x[:, 0], "size": x[:, 1]})
+
+    held = rest.mapInPandas(voted, "doc_id long, label int, odds double, size double").orderBy("doc_id", "label", "odds", "size").toPandas()
+    y = held["label"].to_numpy(float)
+    by_class = np.array([share[int(v)] / max(1, (y == v).sum()) for v in y])
+    return {"shared": shared, "curve": fit_logistic(held[["odds", "size"]].to_numpy(), y, by_class / by_class.mean())}
+
+
+def scores(docs: DataFrame, shared: Broadcast, curve: list[float]) -> DataFrame:
+    """``(row struct, score, neighbours)`` of every row."""
+    @F.pandas_udf(f"score double, neighbours {NEAR}")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(shared.value)
+        ids, labels = scorer.model["ids"], scorer.model["labels"]
+        a, b, c = curve
+        for texts in batches:
+            out, near = [], []
+            for x, found in scorer.votes(texts.tolist()):
+                out.append(float(1 / (1 + np.exp(-np.clip(a * x[0] + b * x[1] + c, -30, 30)))))
+                near.append([{"doc_id": int(ids[i]), "cosine": s, "label": int(labels[i])} for s, i in found])
+            yield pd.DataFrame({"score": out, "neighbours": near})
+
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.withColumn("s", scored(F.col("row.text").cast("string"))).select("row", "s.score", "s.neighbours")
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", cut: float = 0.5, model: dict | None = None) -> DataFrame:
     """``(row struct, score, neighbours, predicted)`` of every row; the
     neighbours are the labelled examples that gave the votes."""
     fitted = model or train(docs, labels, label)
-    rows = docs.select(F.struct("*").alias("row"))
     if fitted is None:
-        return rows.select("row", F.lit(0.5).alias("score"), F.expr("cast(null as array<struct<doc_id: long, cosine: double, label: int>>)").alias("neighbours"), F.lit(int(cut <= 0.5)).alias("predicted"))
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(fitted))
-
-    @F.pandas_udf(SCORE)
-    def scored(texts: pd.Series) -> pd.DataFrame:
-        scorer = _scorer(shared.value)
-        out = [scorer.score(t) for t in texts]
-        near = [[{"doc_id": scorer.model["ids"][i], "cosine": c, "label": scorer.model["labels"][i]} for c, i in n] for _, n in out]
-        return pd.DataFrame({"score": [s for s, _ in out], "neighbours": near})
-
-    done = rows.withColumn("s", scored(F.col("row.text").cast("string")))
-    return done.select("row", "s.score", "s.neighbours", (F.col("s.score") >= cut).cast("int").alias("predicted"))
+        done = docs.select(F.struct("*").alias("row"), F.lit(0.0).alias("score"), F.expr(f"cast(null as {NEAR})").alias("neighbours"))
+    else:
+        done = scores(docs, fitted["shared"], fitted["curve"])
+    return done.withColumn("predicted", (F.col("score") >= cut).cast("int"))
