@@ -1,34 +1,41 @@
 """Quality by compression: which of two dictionaries shrinks a text more.
 
 One zstandard dictionary is built from labelled good texts and one from bad
-texts. A text is compressed with each; the difference of the two sizes,
+texts. A text is compressed with each, in pieces of ``PIECE_BYTES`` so that
+what it repeats itself says nothing; the difference of the two sizes,
 normalised and calibrated by a logistic curve on other labelled texts, is its
-score. Only bounded labelled samples reach the driver; every text is scored
-whole.
+score. The dictionaries are built and the other texts compressed on executors:
+the driver gets two dictionaries and two numbers a labelled text. Every text
+is scored whole.
 
 Defined cases: null and empty texts compress alike with both dictionaries, so
-their difference is zero and they get its calibrated score;
-without labels of both classes every score is 0.5.
+their difference is zero and they get its calibrated score; equal texts get
+equal scores, and repeated rows are returned as often as they occur; labelled
+rows that repeat are fitted on as often as they occur, an id marked both ways
+counts as marked 1, and rows without id, text or mark take no part in fitting;
+columns beyond those named are never read, whatever their names; an empty
+table gives an empty result. Without labels of both classes every score is 0.5.
 """
 
 from __future__ import annotations
 
-import math
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import crc_fold, labelled_sample
+from docloom.llm.common import crc_fold, labelled_sample, write_shared
 
 #: Labelled rows a class from which dictionaries and calibration are fitted.
 SAMPLE_ROWS = 3000
-#: Bytes of one dictionary and of the sampled text that trains it.
+#: Bytes of one dictionary, and of the sampled texts that train it; a text of
+#: over a 16th of the latter trains none.
 DICTIONARY_BYTES = 112_640
 TRAINING_BYTES = 12_000_000
-LEVEL = 3
+#: Bytes that are compressed at once, and zstandard's level.
+PIECE_BYTES, LEVEL = 256, 3
 
 
 @lru_cache(maxsize=8)
@@ -40,14 +47,23 @@ def _compressor(dictionary: bytes):
     )
 
 
-def difference(text: str | None, good: bytes, bad: bytes) -> tuple[float, float, float]:
+def difference(text: str | None, good: bytes, bad: bytes) -> tuple[float, float]:
     """Size with the bad dictionary less that with the good one, normalised by
-    the sum of both and by the root of the text's length; and the sum itself
-    against the length, as a difference means less where either shrinks a text
-    to almost nothing."""
+    the sum of both and by the text's length."""
     data = (text or "").encode()
-    g, b = len(_compressor(good).compress(data)), len(_compressor(bad).compress(data))
-    return (b - g) / (b + g), (b - g) / (math.sqrt(len(data)) + 1), math.log((b + g) / (len(data) + 20))
+    pieces = [data[at : at + PIECE_BYTES] for at in range(0, len(data), PIECE_BYTES)] or [b""]
+    g, b = (sum(len(c.compress(p)) for p in pieces) for c in (_compressor(good), _compressor(bad)))
+    return (b - g) / (b + g), (b - g) / (len(data) + 20)
+
+
+def build_dictionary(texts: list[bytes]) -> bytes:
+    """A dictionary trained on texts; the texts' end, where they are too few."""
+    import zstandard
+
+    try:
+        return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, texts)) // 60)), texts).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(texts)[-DICTIONARY_BYTES:].ljust(8, b" ")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[float]:
@@ -70,34 +86,32 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     Half of the sample, dealt by a hash of the id, trains the dictionaries and
     the other half the calibration, weighted to the classes' share of labels.
     """
-    import zstandard
+    sample = write_shared(labelled_sample(docs, labels, label, per_class).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2))), "labelled")
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id", "text")  # at most per_class rows
+    size = F.octet_length("text")
+    training = sample.filter((F.col("half") == 0) & (size > 0) & (size <= TRAINING_BYTES // 16)).withColumn("upto", F.sum(size).over(order)).filter(F.col("upto") <= TRAINING_BYTES)
 
-    rows = (
-        labelled_sample(docs, labels, label, per_class)
-        .withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)))
-        .orderBy("doc_id", "text")
-        .collect()
-    )
-    share = {r["label"]: r["n"] for r in labels.filter(F.col(label).isin(0, 1) & ~crc_fold()).groupBy(F.col(label).cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
-    if len({r["label"] for r in rows}) < 2:
+    def built(pdf: pd.DataFrame) -> pd.DataFrame:
+        texts = [t.encode() for t in pdf.sort_values("upto")["text"]]
+        return pd.DataFrame({"label": pdf["label"].iloc[:1], "made": [build_dictionary(texts)]})
+
+    made = {r["label"]: r["made"] for r in training.select("label", "text", "upto").groupBy("label").applyInPandas(built, "label int, made binary").collect()}
+    made = {v: bytes(made.get(v, b" " * 8)) for v in (0, 1)}
+
+    def differences(batches):
+        for pdf in batches:
+            x = np.array([difference(t, made[1], made[0]) for t in pdf["text"]]).reshape(-1, 2)
+            yield pd.DataFrame({"half": pdf["half"], "label": pdf["label"], "by_size": x[:, 0], "by_length": x[:, 1]})
+
+    rows = sample.select("half", "label", "text").mapInPandas(differences, "half long, label int, by_size double, by_length double").toPandas()
+    if rows["label"].nunique() < 2:
         return None
-    made = {}
-    for value in (0, 1):
-        texts, total = [], 0
-        for r in (r for r in rows if r["label"] == value and r["half"] == 0):
-            data = r["text"].encode()
-            if data and total + len(data) <= TRAINING_BYTES:
-                texts.append(data)
-                total += len(data)
-        try:
-            made[value] = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, total // 60)), texts).as_bytes()
-        except zstandard.ZstdError:  # too little text to train on: the text itself serves
-            made[value] = b"".join(texts)[-DICTIONARY_BYTES:].ljust(8, b" ")
-    held = [r for r in rows if r["half"] == 1] or rows
-    x = np.array([difference(r["text"], made[1], made[0]) for r in held])
-    y = np.array([r["label"] for r in held], dtype=float)
+    held = rows[rows["half"] == 1]
+    held = (held if held["label"].nunique() == 2 else rows).sort_values(["label", "by_size", "by_length"])
+    share = {r["label"]: r["n"] for r in labels.filter(F.col(label).isin(0, 1) & ~crc_fold()).groupBy(F.col(label).cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
+    y = held["label"].to_numpy(float)
     weight = np.array([share[int(v)] / max(1, (y == v).sum()) for v in y])
-    return {"good": made[1], "bad": made[0], "curve": fit_logistic(x, y, weight / weight.mean())}
+    return {"good": made[1], "bad": made[0], "curve": fit_logistic(held[["by_size", "by_length"]].to_numpy(), y, weight / weight.mean())}
 
 
 def score(text: Column, model: dict | None) -> Column:
