@@ -12,8 +12,10 @@ are code points: the lengths of the pieces between matches and of the matches
 themselves add up to them.
 
 Defined cases: null text is empty and yields no span; rows equal in id and
-text share a posting; repeated rows are returned as often as they occur; an
-empty table gives an empty result.
+text share a posting; repeated rows are returned as often as they occur; spans
+that start at one place come in the order of their kinds; the input columns
+stay within ``row``, so their names can't clash; the time for a text's spans
+grows with their number; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -61,6 +63,8 @@ ADDED = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
 )
+#: Matches whose lengths are summed as one run, and runs as one.
+RUN = 64
 #: Strings that a run of an expression may stand for before it is cut.
 MOST_STRINGS = 48
 
@@ -163,27 +167,39 @@ def candidates(keyed: DataFrame, rules: tuple[Rule, ...], rows: int) -> DataFram
     return index.select(F.explode(F.concat(*hits)).alias("x")).groupBy("x.key").agg(F.bit_or("x.bit").alias("mask"))
 
 
+def running_sums(steps: Column) -> Column:
+    """Sums of an array's leading elements, each in few steps: sums of runs and
+    of runs of runs are worked out once, and an element adds those before it."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda x, y: x + y)
+
+    def runs(xs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(xs) / RUN).cast("int")), lambda i: total(F.slice(xs, i * RUN + 1, RUN)))
+
+    def at(x: Column, i: Column) -> Column:
+        far, near = F.floor(i / (RUN * RUN)).cast("int"), F.floor(i / RUN).cast("int")
+        return (
+            total(F.slice(x["far"], F.lit(1), far)) + total(F.slice(x["near"], far * RUN + 1, near - far * RUN)) + total(F.slice(x["steps"], near * RUN + 1, i - near * RUN + 1))
+        )
+
+    # One-element arrays: what they hold is worked out once, however often used.
+    once = F.transform(F.array(steps), lambda xs: F.struct(xs.alias("steps"), runs(xs).alias("near")))
+    packed = F.transform(once, lambda x: F.struct(x["steps"].alias("steps"), x["near"].alias("near"), runs(x["near"]).alias("far")))
+    return F.flatten(F.transform(packed, lambda x: F.transform(x["steps"], lambda _, i: at(x, i))))
+
+
 def spans(text: Column, rule: Rule, order: int) -> Column:
     """Leftmost non-overlapping matches as ``(start, order, end, kind)``."""
     pattern = F.lit(rule.pattern)
     pieces = F.transform(F.split(text, rule.pattern, -1), F.length)
     lengths = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
     kept = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length)
-    add = lambda xs, n: F.aggregate(F.slice(xs, 1, n), F.lit(0), lambda a, x: a + x)
-
-    def span(packed: Column, i: Column) -> Column:
-        start = add(packed["p"], i + 1) + add(packed["m"], i)
-        return F.struct(
-            start.alias("start"), F.lit(order).alias("order"), (start + F.element_at(packed["m"], i + 1)).alias("end"), F.lit(rule.kind).alias("kind"), F.element_at(packed["k"], i + 1).alias("size")
-        )
-
-    # One-element array: the pieces are worked out once, however often used.
     packed = F.array(F.struct(pieces.alias("p"), lengths.alias("m"), kept.alias("k")))
-    found = F.flatten(
-        F.transform(packed, lambda x: F.when(F.size(x["m"]) > 0, F.transform(F.sequence(F.lit(0), F.size(x["m"]) - 1), lambda i: span(x, i))).otherwise(F.array()))
-    )
+    # A match starts after all pieces up to it and all matches before it.
+    steps = lambda x: F.transform(x["m"], lambda _, i: F.get(x["p"], i) + F.coalesce(F.get(x["m"], i - 1), F.lit(0)))
+    found = F.flatten(F.transform(packed, lambda x: F.arrays_zip(running_sums(steps(x)).alias("start"), x["m"].alias("m"), x["k"].alias("k"))))
     return F.transform(
-        F.filter(found, lambda s: s["size"] >= rule.least), lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind"))
+        F.filter(found, lambda s: s["k"] >= rule.least),
+        lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), (s["start"] + s["m"]).alias("end"), F.lit(rule.kind).alias("kind")),
     )
 
 
