@@ -7,8 +7,8 @@ part of it, has only its equals in its class. A line that can link is cut into
 a segment that occurs in the longer one, near its place. An index holds every
 line's segments by length, ordinal and hash. Lines probe it with just the
 substrings at the shifts that the ordinals and the lengths allow. Where a
-segment is in very many lines, these must also agree in their letters' counts
-as lines this close do. Candidates are verified by Hyyro's banded bit-parallel edit distance: one bit per
+segment is in very many lines, these meet only under a group of letters that
+occur equally often in both, as some group does in lines this close. Candidates are verified by Hyyro's banded bit-parallel edit distance: one bit per
 diagonal of the band, so a line of any length needs one word.
 
 All of it is DataFrame functions. The edit distance is a fold over positions.
@@ -21,8 +21,10 @@ up.
 Defined cases: null and empty texts have no line that takes part; nor have
 blank lines below ``LEAST`` characters; ``deduplicated`` leaves all lines below
 ``LEAST`` characters where they are; rows equal in id and text count as one row
-and lose the same lines; rows with a null id come before all others; an empty
-table gives an empty result.
+and lose the same lines; rows with a null id come before all others; of equal
+lines in one document the first stays; the input columns pass through and are
+never read beyond the named ones, so their names can't clash; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ from docloom.llm.components import components
 EDITS, LEAST = 2, 24
 #: Lines of one segment beyond which it alone makes no candidates.
 HOT = 8
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 #: Line hashes up to which their list is broadcast (8 bytes each).
 BROADCAST_ROWS = 200_000
 
@@ -131,7 +133,7 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
 
 
 def letter_counts(line: Column) -> Column:
-    """How often each letter occurs, and how many other characters there are.
+    """How often each letter or digit occurs, and how many other characters there are.
 
     An edit changes two of these by one at most, so the counts of lines within
     ``EDITS`` differ by ``2 * EDITS`` in sum.
@@ -144,8 +146,10 @@ def letter_counts(line: Column) -> Column:
 def candidates(lines: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of line hashes that share a segment, a < b.
 
-    A segment in over ``HOT`` lines alone says little: there the lines must
-    also agree in their letters' counts as any two that link do.
+    A segment in over ``HOT`` lines alone says little. The letters' counts of
+    two lines that link differ by ``2 * EDITS`` in sum, so of one more group of
+    letters than that some group's counts are equal: there the key is the
+    segment with a group's counts, and the counts must be as close as said.
     """
     n = F.length("line")
     own, probes = _keys(F.col("line"), n)
@@ -161,8 +165,12 @@ def candidates(lines: DataFrame) -> DataFrame:
         lines.select("h", "line").join(small_side(seen, seen.count(), BROADCAST_ROWS), "h").dropDuplicates(["h"]).select("h", letter_counts(F.col("line")).alias("n")), "counted"
     )
     far = F.aggregate(F.zip_with("n", "m", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
-    left, right = held.join(counted, "h"), wanted.join(counted, "h").withColumnsRenamed({"h": "g", "n": "m"})
-    near = left.join(right, (left["key"] == right["key"]) & (F.col("h") != F.col("g")) & (far <= 2 * EDITS))
+    groups = 2 * EDITS + 1
+    letters = [F.get("n", i) for i in range(len(LETTERS) + 1)]
+    finer = F.explode(F.array(*[F.xxhash64("key", F.lit(i), *letters[i::groups]) for i in range(groups)])).alias("key")
+    left, right = (t.join(counted, "h").select("h", "n", finer) for t in (held, wanted))
+    right = right.withColumnsRenamed({"h": "g", "n": "m"})
+    near = left.join(right, "key").filter((F.col("h") != F.col("g")) & (far <= 2 * EDITS))
     return pairs.unionByName(near.select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b"))).distinct()
 
 
@@ -211,5 +219,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         gone.hint("merge"), "row_key", "left"  # as many rows as documents with a repeated line: never a broadcast
     )
     source = F.col("row")[text_col]
-    kept = F.array_join(F.filter(F.split(source, "\n", -1), lambda line, i: ~F.array_contains("gone", i)), "\n")
+    # One-element array: the lines are split once. Set difference takes time in proportion to them.
+    whole = F.array(F.split(source, "\n", -1))
+    left = lambda ls: F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("gone")))
+    kept = F.array_join(F.flatten(F.transform(whole, lambda ls: F.transform(left(ls), lambda i: F.get(ls, i)))), "\n")
     return keyed.select(F.col("row").withField(text_col, F.when(F.col("gone").isNull(), source).otherwise(kept)).alias("row")).select("row.*")
