@@ -6,14 +6,18 @@ letters for letters, octets for octets, a valid check digit where there was
 one, a given name of the same gender and script for a given name. Surrogates
 that meet an entity of the corpus or another's surrogate are drawn again until
 none does, so distinct entities stay distinct; equal ones stay equal wherever
-they occur. A spelling's case and punctuation are kept.
+they occur. A spelling's case and punctuation are kept. Where draws keep
+meeting others, an e-mail address gets a longer name and an address of octets
+may have more digits. People are found by title, by a given name of the lists,
+or by what is written around two names; a name without any of these stays.
 
 All of it is DataFrame functions. Only rows that hold an entity are shuffled.
 
 Defined cases: null text stays null and empty text empty; rows equal in id and
-text are handled alike; other columns pass through whatever their names; an
-empty table gives an empty result. If the values of a form are so nearly used
-up that ``ROUNDS`` draws leave two alike, an error is raised.
+text are handled alike and each is returned; of matches that start at one place
+the type first in ``TYPES`` counts; other columns pass through whatever their
+names; an empty table gives an empty result. If the values of a form of digits
+are so nearly used up that ``ROUNDS`` draws leave two alike, an error is raised.
 """
 
 from __future__ import annotations
@@ -28,12 +32,18 @@ from docloom.llm.common import small_side, write_shared
 #: Draws before giving up, and distinct spellings up to which their table is
 #: broadcast.
 ROUNDS, BROADCAST_ROWS = 64, 100_000
+#: Draws after which addresses may get longer.
+SAME_LENGTH = 6
 
 #: Titles by gender, and given names by gender and script.
 TITLES = {
     "m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "господин", "г-н", "Κύριος"),
     "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа", "г-жа", "Κυρία"),
+    "n": ("Dr", "Prof", "Professor", "Doctor", "доктор", "профессор"),
 }
+#: What stands before or after two names of a person.
+BEFORE = ("Dear", "named", "name is", "contact", "Contact", "signed by", "written by", "wrote to", "on behalf of")
+AFTER = ("wrote", "said", "asked", "replied", "answered", "signed", "called")
 GIVEN = {
     ("m", "latin"): ("James", "John", "Robert", "Michael", "David", "Thomas", "Pierre", "Hans", "Carlos", "Peter", "Daniel", "Martin", "Paul", "Andrew", "Stefan", "Luis"),
     ("f", "latin"): ("Mary", "Anna", "Linda", "Sarah", "Julia", "Emma", "Claire", "Greta", "Carmen", "Laura", "Susan", "Helen", "Maria", "Alice", "Sophie", "Lucia"),
@@ -50,17 +60,20 @@ SURNAMES = {
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
-_TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + ")"
-_KNOWN = "(?:" + "|".join(n for ns in GIVEN.values() for n in ns) + ")"
-#: Expressions of the types, in order of preference.
+_both_cases = lambda words: "(?:" + "|".join(dict.fromkeys(x for w in words for x in (w, w.upper()))) + ")"
+_TITLE = _both_cases(t for ts in TITLES.values() for t in ts)
+_KNOWN = _both_cases(n for ns in GIVEN.values() for n in ns)
+_CONTEXT = rf"(?<=(?:{'|'.join(BEFORE)}) ){_NAME} {_NAME}|{_NAME} {_NAME}(?= (?:{'|'.join(AFTER)})\b)"
+#: Expressions of the types, in order of preference. Groups repeat within bounds
+#: (a name has 127 labels at most), as Java matches them by recursion.
 TYPES = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?){0,126}\.[A-Za-z]{2,}",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\dA-Za-z+])\d(?:[ -]?\d){12,18}(?![\dA-Za-z])",
     "ssn": r"(?<![\dA-Za-z-])\d{3}-\d{2}-\d{4}(?![\dA-Za-z-])",
     "phone": r"(?<![\dA-Za-z])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+(?=\d(?:[ .-]?\d){6})\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\dA-Za-z.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-])",
-    "person": rf"(?=\p{{Lu}}|г)(?<![\p{{L}}\d])(?:{_TITLE}\.? {_NAME}(?: {_NAME})?|{_KNOWN} {_NAME})",
+    "person": rf"(?=\p{{Lu}}|[гдп])(?<![\p{{L}}\d])(?:{_TITLE}\.? {_NAME}(?: {_NAME})?|{_KNOWN} {_NAME}|{_CONTEXT})",
 }
 _DIGITS = "|".join(f"(?:{TYPES[t]})" for t in ("ip", "iban", "card", "ssn", "phone"))
 #: Any entity. The lookahead only spares attempts that can't match.
@@ -90,11 +103,13 @@ def _in(word: Column, names) -> Column:
 def parts(kind: Column, found: Column) -> Column:
     """What is replaced in a match: an array of ``(kind, norm)``."""
     words = F.split(found, " ")
-    first = F.regexp_replace(words[0], r"\.\z", "")
-    titled = first.rlike(rf"\A{_TITLE}\z")
+    first = F.lower(F.regexp_replace(words[0], r"\.\z", ""))
+    titles = {g: [t.lower() for t in ts] for g, ts in TITLES.items()}
+    titled = first.isin(*[t for ts in titles.values() for t in ts])
     names = F.when(titled, F.slice(words, 2, 9)).otherwise(words)
-    known_f = reduce(lambda a, b: a | b, [_in(names[0], GIVEN[k]) for k in GIVEN if k[0] == "f"])
-    gender = F.when(titled, F.when(first.isin(*TITLES["f"]), "f").otherwise("m")).otherwise(F.when(known_f, "f").otherwise("m"))
+    known = lambda g: reduce(lambda a, b: a | b, [_in(F.lower(names[0]), [n.lower() for n in GIVEN[k]]) for k in GIVEN if k[0] == g])
+    by_name = F.when(known("f"), "f").when(known("m"), "m").otherwise("n")
+    gender = F.when(first.isin(*titles["f"]), "f").when(first.isin(*titles["m"]), "m").otherwise(by_name)
     person = F.transform(
         names,
         lambda w, i: F.struct(
@@ -143,21 +158,39 @@ def _name(names, seed: Column, attempt: Column) -> Column:
     return F.lower(F.array_join(F.transform(F.sequence(F.lit(0), attempt), lambda i: F.element_at(pool, _draw(seed, i, len(names)) + 1)), "-"))
 
 
+def _mod97(text: Column) -> Column:
+    """Remainder of the number that letters (10 to 35) and digits spell."""
+    digit = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda r, c: F.when(c.rlike("[0-9]"), (r * 10 + digit(c)) % 97).otherwise((r * 100 + digit(c)) % 97))
+
+
+def _iban(norm: Column, seed: Column) -> Column:
+    """Country kept, the rest drawn, with right check digits where they were right."""
+    drawn = _spelled(norm, seed, 2)
+    country, rest = F.substring(norm, 1, 2), F.substring(drawn, F.lit(5), F.length(norm))
+    check = F.lpad((98 - _mod97(F.concat(rest, country, F.lit("00")))).cast("string"), 2, "0")
+    right = _mod97(F.concat(F.substring(norm, F.lit(5), F.length(norm)), F.substring(norm, 1, 4))) == 1
+    return F.when(right, F.concat(country, check, rest)).otherwise(drawn)
+
+
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """The surrogate of an entity in its normal form."""
     seeded = lambda *x: F.sha2(F.concat_ws("\x1f", F.lit(key), kind, *x).cast("binary"), 512)
     seed = seeded(norm, attempt.cast("string"))
+    longer = F.greatest(attempt - SAME_LENGTH, F.lit(0))
     host = F.regexp_extract(norm, r"@(.*)\.[a-z]+\z", 1)
-    mail = F.concat(
-        _spelled(F.regexp_extract(norm, r"\A([^@]*)", 1), seed), F.lit("@"), _spelled(host, seeded(F.lit("host"), host)), F.regexp_extract(norm, r"(\.[a-z]+)\z", 1)
-    )
-    octet = lambda o, i: F.when(F.length(o) == 3, _draw(seed, i, 156) + 100).when(F.length(o) == 2, _draw(seed, i, 90) + 10).otherwise(_draw(seed, i, 10))
+    local = F.concat(F.regexp_extract(norm, r"\A([^@]*)", 1), F.repeat(F.lit("x"), longer))
+    mail = F.concat(_spelled(local, seed), F.lit("@"), _spelled(host, seeded(F.lit("host"), host)), F.regexp_extract(norm, r"(\.[a-z]+)\z", 1))
+    sized = lambda o, i: F.when(F.length(o) == 3, _draw(seed, i, 156) + 100).when(F.length(o) == 2, _draw(seed, i, 90) + 10).otherwise(_draw(seed, i, 10))
+    octet = lambda o, i: F.when(longer > 0, _draw(seed, i, 256)).otherwise(sized(o, i))
     ip = F.array_join(F.transform(F.split(norm, r"\."), lambda o, i: octet(o, i).cast("string")), ".")
     drawn = _spelled(norm, seed, 1)
     body = F.concat(F.substring(drawn, F.lit(1), F.length(norm) - 1))
     card = F.when(_luhn(norm) == 0, F.concat(body, F.pmod(-_luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))).otherwise(drawn)
-    out = F.when(kind == "email", mail).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", _spelled(norm, seed, 2))
-    for (gender, script), names in GIVEN.items():
+    out = F.when(kind == "email", mail).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", _iban(norm, seed))
+    scripts = {script for _, script in GIVEN}
+    given = GIVEN | {("n", s): GIVEN["m", s] + GIVEN["f", s] for s in sorted(scripts)}
+    for (gender, script), names in given.items():
         out = out.when(kind == f"given_{gender}_{script}", _name(names, seed, attempt))
     for script, names in SURNAMES.items():
         out = out.when(kind == f"surname_{script}", _name(names, seed, attempt))
@@ -208,7 +241,7 @@ def pseudonymised(docs: DataFrame, key: str = "docloom", id_col: str = "doc_id",
     text = F.col("row")[text_col].cast("string")
     rows = docs.select(F.struct("*").alias("row"))
     clean = rows.filter(~holds_entity(text)).select("row", F.lit(0).alias("n_entities"))
-    hits = write_shared(rows.filter(holds_entity(text)).select("row", F.xxhash64(F.col("row")[id_col], text).alias("row_key")), "hits")
+    hits = write_shared(rows.filter(holds_entity(text)).select("row", F.md5(F.concat_ws("\x1f", F.col("row")[id_col].cast("string"), F.isnull(F.col("row")[id_col]).cast("string"), text).cast("binary")).alias("row_key")), "hits")
     found = write_shared(
         hits.select("row_key", F.posexplode(F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("at", "found")).distinct(), "entities"
     )
@@ -218,7 +251,7 @@ def pseudonymised(docs: DataFrame, key: str = "docloom", id_col: str = "doc_id",
     news = F.transform(F.array_sort(F.collect_list(F.struct("part", "new"))), lambda x: x["new"])
     rendered = write_shared(
         split.join(new, ["kind", "norm"]).groupBy("found", "type").agg(news.alias("news"))
-        .select("found", F.when(F.col("type") == "person", _named(F.col("found"), F.col("news"))).otherwise(_woven(F.col("found"), F.col("news")[0])).alias("put")), "spellings")
+        .select("found", F.when(F.col("type") == "person", _named(F.col("found"), F.col("news"))).when(F.col("type").isin("email", "ip") & (F.length("found") != F.length(F.col("news")[0])), F.col("news")[0]).otherwise(_woven(F.col("found"), F.col("news")[0])).alias("put")), "spellings")
     puts = found.join(small_side(rendered, rendered.count(), BROADCAST_ROWS), "found").groupBy("row_key").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("at", "put"))), lambda x: x["put"]).alias("puts")
     )
