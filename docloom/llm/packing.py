@@ -21,9 +21,9 @@ are packed as often as they occur; an empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
-import re
 import unicodedata
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,11 +37,15 @@ from docloom.llm.common import write_shared
 
 #: Mean rows of one (length, bucket) group never exceed this.
 GROUP_ROWS = 512
-#: Known chunks that a Python worker keeps before it starts anew.
-CACHE_CHUNKS = 300_000
+#: Bytes that a task's cache of chunks, or of words, holds before it starts
+#: anew, and what an entry takes beside its characters and ids.
+CACHE_BYTES, ENTRY_BYTES = 48_000_000, 200
+#: Characters of texts whose unknown chunks are worked out together, and words
+#: of one sequence for the tokenizer.
+BATCH_CHARS, RUN_WORDS = 1_000_000, 200
 #: Texts with these go to the tokenizer whole: white space and case on which
 #: Python and the tokenizer may differ, and strings of special tokens.
-PLAIN = re.compile("[\x1c-\x1f\x85Σİ]|<\\|")
+NOT_PLAIN = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "Σ", "İ", "<|")
 
 #: Ids travel beside a mark for null: pandas would make doubles of both.
 PIECES = "doc_id long, no_id boolean, piece int, start long, length long, ids_crc32 long"
@@ -52,76 +56,105 @@ PIECES = "doc_id long, no_id boolean, piece int, start long, length long, ids_cr
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-class _Recent(dict):
-    """A cache of bounded size: at ``CACHE_CHUNKS`` entries it begins anew, and
-    what is asked for again is taken over from before."""
+class _Recent:
+    """A cache of bounded size: at ``CACHE_BYTES`` it begins anew, and what is
+    asked for again is taken over from before."""
 
     def __init__(self) -> None:
-        super().__init__()
-        self.before: dict = {}
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.size = 0
 
-    def __missing__(self, key: str) -> bytes:
-        self[key] = found = self.before[key]
-        return found
+    def put(self, found: dict[str, bytes]) -> None:
+        self.now.update(found)
+        self.size += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY_BYTES * len(found)
+
+    def new(self, keys: set[str]) -> list[str]:
+        """Those of ``keys`` that are not known; the others are in ``now``."""
+        if self.size > CACHE_BYTES:
+            self.now, self.before, self.size = {}, self.now, 0
+        missing = keys.difference(self.now)
+        again = missing.intersection(self.before)
+        self.put({k: self.before[k] for k in again})
+        return list(missing.difference(again))
+
+
+@lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    import os
+
+    from tokenizers import Tokenizer
 
-    def turn(self) -> None:
-        if len(self) > CACHE_CHUNKS:
-            self.before = dict(self)
-            self.clear()
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Tokenizer.from_file(path)
 
 
 class _Encoder:
-    """A tokenizer with the ids of the chunks and words seen lately."""
+    """A tokenizer with the ids of the chunks and words that a task saw lately."""
 
     def __init__(self, path: str):
-        import os
-
         import regex
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.split = Tokenizer.from_file(path), regex.compile(SPLIT)
+        self.tokenizer, self.split = _tokenizer(path), regex.compile(SPLIT)
         self.chunks, self.words = _Recent(), _Recent()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+
+    def ids(self, text: str) -> array:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def spelled(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words. Many go in one text, as every word's last token
+        has a mark; where that doesn't hold, each goes alone."""
+        found: dict[str, bytes] = {}
+        runs = [words[at : at + RUN_WORDS] for at in range(0, len(words), RUN_WORDS)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(run) or ends[-1] != len(ids):
+                found.update((w, self.ids(w).tobytes()) for w in run)
+                continue
+            data, at = ids.tobytes(), 0
+            for word, end in zip(run, (4 * ends).tolist()):
+                found[word] = data[at:end]
+                at = end
+        return found
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, chunks: list[str]) -> None:
         """Work out the ids of new chunks from their words."""
-        parts = {c: self.split.findall(c) for c in chunks}
-        new = list({w for ws in parts.values() for w in ws if w not in self.words and w not in self.words.before})
-        for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.words[word] = np.array(e.ids, dtype="<u4").tobytes()
-        for chunk, words in parts.items():
-            self.chunks[chunk] = b"".join([self.words[w] for w in words])
-
-    def encode(self, text: str) -> bytes:
-        if PLAIN.search(text) or not unicodedata.is_normalized("NFC", text):
-            return self.whole(text)
-        chunks, known = text.lower().split(), self.chunks
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            known.turn()
-            self.words.turn()
-            self.learn({c for c in chunks if c not in known and c not in known.before})
-            return b"".join([known[c] for c in chunks])
-
-
-@lru_cache(maxsize=2)
-def _encoder(path: str) -> _Encoder:
-    return _Encoder(path)
-
-
-def encode(texts: list[str | None], path: str) -> Iterator[bytes]:
+        parts = {c: [c] if c.isascii() and c.isalpha() else self.split.findall(c) for c in chunks}
+        self.words.put(self.spelled(self.words.new({w for ws in parts.values() for w in ws})))
+        known = self.words.now
+        self.chunks.put({c: known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for c, ws in parts.items()})
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of some texts; what is new in any is worked out at once."""
+        split = [None if any(x in t for x in NOT_PLAIN) or not unicodedata.is_normalized("NFC", t) else t.lower().split() for t in texts]
+        seen: set[str] = set()
+        for chunks in filter(None, split):
+            seen.update(chunks)
+        self.learn(self.chunks.new(seen))
+        known = self.chunks.now.__getitem__
+        return [self.ids(t).tobytes() if chunks is None else b"".join(map(known, chunks)) for t, chunks in zip(texts, split)]
+
+
+def encode(texts: list[str | None], path: str, encoder: _Encoder | None = None) -> Iterator[bytes]:
     """Token ids of each text as little-endian 32-bit words.
 
     The tokenizer lower-cases, drops white space and never looks across it, so
     a text's ids are those of its chunks, and these of their words.
     """
-    own = _encoder(path)
+    own = encoder or _Encoder(path)
+    some, size = [], 0
     for text in texts:
-        yield own.encode(text) if text else b""
+        some.append(text or "")
+        size += len(text or "")
+        if size > BATCH_CHARS:
+            yield from own.encode(some)
+            some, size = [], 0
+    yield from own.encode(some)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -129,9 +162,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches):
+        own = _Encoder(tokenizer_path)  # its caches end with the task
         for pdf in batches:
             rows = []
-            for doc_id, no_id, ids in zip(pdf["doc_id"], pdf["no_id"], encode(pdf["text"].tolist(), tokenizer_path)):
+            for doc_id, no_id, ids in zip(pdf["doc_id"], pdf["no_id"], encode(pdf["text"].tolist(), tokenizer_path, own)):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
@@ -183,7 +217,8 @@ def reduce_and_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[in
                 take((big, mate), many)
                 continue
             if smallest(big, 3) > room and _best_pair(sizes, left, big, room) <= mate:
-                take((big, mate), 1)
+                # Taking pieces away only strengthens both conditions, so all go at once.
+                take((big, mate), many)
                 continue
             break
     return plan + _best_fit(left, capacity)
