@@ -47,7 +47,8 @@ def glob(x: Column, pattern: str) -> Column:
 
 def like(x: Column, pattern: str) -> Column:
     """LIKE that ignores the case of ASCII letters."""
-    return x.ilike(pattern)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return F.translate(x, upper, lower).like(pattern.translate(str.maketrans(upper, lower)))
 
 
 def cast_integer(x: Column) -> Column:
@@ -80,8 +81,8 @@ def rounded(x: Column, digits: int = 0) -> Column:
 
 
 def divide(a: Column, b: Column, integral: bool) -> Column:
-    """Truncating for integers; null on zero."""
-    return F.try_divide(a, b).cast("bigint") if integral else F.try_divide(a.cast("double"), b.cast("double"))
+    """Truncating for integers, exact for all of 64 bits; null on zero."""
+    return F.call_function("div", a.cast("bigint"), F.nullif(b, F.lit(0)).cast("bigint")) if integral else F.try_divide(a.cast("double"), b.cast("double"))
 
 
 def modulo(a: Column, b: Column) -> Column:
@@ -162,6 +163,18 @@ def json_set(doc: Column, key: str, value: Column) -> Column:
     return json_patch(doc, F.to_json(F.create_map(F.lit(key), value)))
 
 
+def json_insert(doc: Column, key: str, value: Column) -> Column:
+    """Set one top-level member where there is none."""
+    held = F.map_contains_key(F.from_json(doc, "map<string,variant>"), F.lit(key))
+    return F.when(held, doc).otherwise(json_set(doc, key, value))
+
+
+def json_replace(doc: Column, key: str, value: Column) -> Column:
+    """Set one top-level member where there is one."""
+    held = F.map_contains_key(F.from_json(doc, "map<string,variant>"), F.lit(key))
+    return F.when(held, json_set(doc, key, value)).otherwise(doc)
+
+
 def json_remove(doc: Column, key: str) -> Column:
     """Remove one top-level member."""
     base = F.from_json(doc, "map<string,variant>")

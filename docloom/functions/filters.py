@@ -88,9 +88,9 @@ def _compare(x: Column, op: str, value: Any) -> Column:
     return {"gt": x > value, "gte": x >= value, "lt": x < value, "lte": x <= value}[op]
 
 
-def _json_equal(doc: Column, key: str, value: Any) -> Column:
+def _json_equal(doc: Column, parsed: Column, key: str, value: Any) -> Column:
     value = _normal(value)
-    x = F.try_variant_get(F.try_parse_json(doc), json_path(key), "variant")
+    x = F.try_variant_get(parsed, json_path(key), "variant")
     kind = F.schema_of_variant(x)
     if value is None:
         return F.is_variant_null(x)
@@ -107,18 +107,25 @@ def _json_equal(doc: Column, key: str, value: Any) -> Column:
 
 
 def json_predicate(doc: Column, filters: Any) -> Column:
-    """All filters over a column of JSON text."""
-    def one(f: dict) -> Column:
-        key, op, value = f["key"], f["operator"], f["value"]
+    """All filters over a column of JSON text, which is parsed once a row."""
+    def one(parsed: Column, f: dict) -> Column:
+        key, op, value = f["key"], f["operator"], _normal(f["value"])
         if op == "eq":
-            return F.coalesce(_json_equal(doc, key, value), F.lit(False))
-        x = F.try_variant_get(F.try_parse_json(doc), json_path(key), "variant")
+            return F.coalesce(_json_equal(doc, parsed, key, value), F.lit(False))
+        x = F.try_variant_get(parsed, json_path(key), "variant")
         if op == "ne":
-            return x.isNotNull() & ~F.coalesce(_json_equal(doc, key, value), F.lit(False))
-        number = F.when(F.schema_of_variant(x).rlike(_NUMERIC), F.try_variant_get(x, "$", "double"))
-        return F.coalesce(_compare(number, op, float(value)), F.lit(False))
-
-    return reduce(lambda a, b: a & b, map(one, validate(filters)), F.lit(True))
+            return x.isNotNull() & ~F.coalesce(_json_equal(doc, parsed, key, value), F.lit(False))
+        kind = F.schema_of_variant(x)
+        number = F.when(kind.rlike(_NUMERIC), _compare(F.try_variant_get(x, "$", "double"), op, float(value)))
+        if isinstance(value, int) and -(2**63) <= value < 2**63:  # doubles blur whole numbers past 2 ** 53
+            number = F.when(kind == "BIGINT", _compare(F.try_variant_get(x, "$", "bigint"), op, value)).otherwise(number)
+        return F.coalesce(number, F.lit(False))
+
+    found = validate(filters)
+    if not found:
+        return F.lit(True)
+    # One-element array: the text is parsed once, however many filters look at it.
+    return F.exists(F.array(F.try_parse_json(doc)), lambda parsed: reduce(lambda a, b: a & b, (one(parsed, f) for f in found)))
 
 
 def _field(schema: T.StructType, key: str) -> T.DataType | None:

@@ -81,6 +81,7 @@ def applied(relation: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def summary(changes: DataFrame, statement: str) -> dict:
-    """What a client is told: the statement, its count and the keys, up to 1000."""
-    ids = [r["id"] for r in changes.select("id").orderBy("id").limit(1000).collect()]
-    return {"status": "ok", "op": statement, "count": changes.count(), "applied": ids, "failed": []}
+    """What a client is told: the statement, its count and the first 1000 keys;
+    ``truncated`` says whether there are more."""
+    ids = [r["id"] for r in changes.select("id").orderBy("id").limit(1001).collect()]
+    return {"status": "ok", "op": statement, "count": changes.count(), "applied": ids[:1000], "failed": [], "truncated": len(ids) > 1000}

@@ -23,13 +23,14 @@ def required(replicas: int) -> int:
 
 
 def merged_rows(copies: DataFrame, needed: int) -> DataFrame:
-    """``(id, timestamp, value)`` of the rows whose newest value is agreed."""
+    """``(id, timestamp, value)`` of the rows whose newest value is agreed: a
+    replica counts once, however often its reply came."""
     newest = Window.partitionBy("id").orderBy(F.desc("timestamp"), "replica")
     voted = copies.withColumn("won", F.first(F.struct("timestamp", "value")).over(newest))
     same = fingerprint(F.col("value")) == fingerprint(F.col("won.value"))
     return (
         voted.groupBy("id", "won")
-        .agg(F.sum(same.cast("int")).alias("agree"))
+        .agg(F.size(F.collect_set(F.when(same, F.col("replica")))).alias("agree"))
         .filter(F.col("agree") >= needed)
         .select("id", "won.timestamp", "won.value")
     )

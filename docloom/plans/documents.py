@@ -120,6 +120,31 @@ for _name, (_filters, _where) in FILTERS.items():
     )
 
 
+def priority_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as documents with a boolean, a null and a member that some lack."""
+    o = load(spark, sf_dir, "orders")
+    low = F.col("o_custkey") % 3
+    value = F.concat(
+        F.lit('{"f":'), F.when(F.col("o_orderstatus") == "F", "true").otherwise("false"), F.lit(',"c":'), F.when(low == 0, "null").otherwise(F.col("o_custkey").cast("string")),
+        F.when(low == 1, F.lit(',"some":"x"')).otherwise(""), F.lit(',"big":'), (F.col("o_orderkey") + 9007199254740990).cast("string"), F.lit("}"),
+    )
+    return o.select(F.col("o_orderkey").cast("string").alias("id"), value.alias("value"))
+
+
+PRIORITY_FILTERS = {
+    "filter_boolean_found": ([{"key": "f", "operator": "eq", "value": True}], "o_orderstatus = 'F'"),
+    "filter_null_found": ([{"key": "c", "operator": "eq", "value": None}], "o_custkey % 3 = 0"),
+    "filter_ne_null_found": ([{"key": "c", "operator": "ne", "value": None}], "o_custkey % 3 <> 0"),
+    "filter_ne_member_of_some": ([{"key": "some", "operator": "ne", "value": "y"}], "o_custkey % 3 = 1"),
+    "filter_other_type_found": ([{"key": "some", "operator": "ne", "value": 1}, {"key": "f", "operator": "ne", "value": "true"}], "o_custkey % 3 = 1"),
+    "filter_past_double": ([{"key": "big", "operator": "gt", "value": 9007199254740993}], "o_orderkey > 3"),
+}
+for _name, (_filters, _where) in PRIORITY_FILTERS.items():
+    query(f"SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE {_where}", _name)(
+        lambda spark, sf_dir, f=_filters: keyspace.Keyspace(priority_rows(spark, sf_dir).withColumns({"ttl": F.lit(None).cast("bigint"), "timestamp": F.lit(0)}), NOW).live(f).select("id")
+    )
+
+
 @query("""SELECT p_partkey FROM part WHERE p_size > 10 AND p_brand = 'Brand#1' OR false""")
 def filter_native_columns(spark, sf_dir):
     parts = load(spark, sf_dir, "part")
@@ -237,6 +262,13 @@ def quorum_rows(spark, sf_dir):
     return quorum.merged_rows(copies(spark, sf_dir), 2)
 
 
+@query(f"SELECT id, tt AS timestamp, tv AS value FROM {TOP} GROUP BY id, tt, tv HAVING count(*) FILTER (WHERE value = tv) >= 2")
+def quorum_repeated_replies(spark, sf_dir):
+    """Every reply comes twice, and still counts once."""
+    once = copies(spark, sf_dir)
+    return quorum.merged_rows(once.unionByName(once), 2)
+
+
 @query(f"SELECT id FROM {COPIES} GROUP BY id HAVING count(DISTINCT replica) >= 3")
 def quorum_ids(spark, sf_dir):
     return quorum.merged_ids(copies(spark, sf_dir), 3)
@@ -502,6 +534,17 @@ def functions_json(spark, sf_dir):
     )
 
 
+@query("""SELECT p_partkey, printf('%05d/%s', p_size, p_brand) AS form, p_name || p_brand AS both, chr(65) || chr(98) AS made, p_size // 4 AS whole, '"' || p_brand || '"' AS quoted,
+ lower(p_name) LIKE '%a%' AS has_a, 2 AS members FROM part""")
+def functions_more_text(spark, sf_dir):
+    b, n = F.col("p_brand"), F.col("p_size")
+    return load(spark, sf_dir, "part").select(
+        "p_partkey", compat.printf("%05d/%s", n, b).alias("form"), compat.concat(F.col("p_name"), F.lit(None), b).alias("both"), compat.char(65, 98).alias("made"),
+        compat.divide(n, F.lit(4), True).cast("int").alias("whole"), compat.json_quote(b).alias("quoted"), compat.like(F.col("p_name"), "%A%").alias("has_a"),
+        compat.json_array_length(F.to_json(F.array(n, n))).alias("members"),
+    )
+
+
 @query("SELECT p_partkey, regexp_matches(p_brand, '^Brand#[1-3]$') AS g, regexp_matches(p_type, '^.*A.$') AS h, coalesce(TRY_CAST(regexp_extract(p_brand || '9', '^(\\d+)', 1) AS BIGINT), 0) AS i FROM part")
 def functions_patterns(spark, sf_dir):
     return load(spark, sf_dir, "part").select(

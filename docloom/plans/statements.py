@@ -86,6 +86,11 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
     "win_range_frame": "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM {tpch.catalog.part}",
     "win_filter": ("SELECT o_orderkey, sum(CASE WHEN o_orderstatus = 'F' THEN 1 END) OVER (PARTITION BY o_custkey) AS f FROM {tpch.sales.orders}",
                    "SELECT o_orderkey, sum(1) FILTER (WHERE o_orderstatus = 'F') OVER (PARTITION BY o_custkey) AS f FROM orders"),
+    # The same operators where they return rows on these tables.
+    "sql_like_found": ("SELECT p_partkey FROM {tpch.catalog.part} WHERE p_brand LIKE 'Brand#_' AND p_name LIKE '%1%'", "SELECT p_partkey FROM part WHERE p_brand LIKE 'Brand#_' AND p_name LIKE '%1%'"),
+    "join_anti_found": "SELECT c.c_custkey FROM {tpch.sales.customer} c LEFT JOIN {tpch.catalog.supplier} s ON c.c_custkey = s.s_suppkey WHERE s.s_suppkey IS NULL",
+    "join_not_exists_found": "SELECT c.c_custkey FROM {tpch.sales.customer} c WHERE NOT EXISTS (SELECT 1 FROM {tpch.catalog.supplier} s WHERE s.s_suppkey = c.c_custkey)",
+    "set_except_found": "SELECT c_custkey AS k FROM {tpch.sales.customer} EXCEPT SELECT s_suppkey FROM {tpch.catalog.supplier}",
     # Order and limits.
     "order_limit_offset": "SELECT c_custkey, c_acctbal FROM {tpch.sales.customer} ORDER BY c_acctbal DESC, c_custkey LIMIT 10 OFFSET 5",
     "order_nulls": "SELECT e.user_id, count(*) AS n FROM {app.stream.events} e GROUP BY e.user_id ORDER BY 2 DESC NULLS LAST, 1 LIMIT 7",

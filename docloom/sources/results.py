@@ -17,9 +17,11 @@ def row_json(df: DataFrame) -> DataFrame:
 
 
 def envelope(df: DataFrame, limit: int = 10_000) -> str:
-    """``{"columns", "rows", "status"}`` of at most ``limit`` rows."""
-    rows = [r["row"] for r in row_json(df).limit(limit).collect()]
-    return '{"columns":' + json.dumps(df.columns) + ',"rows":[' + ",".join(rows) + '],"status":"ok"}'
+    """``{"columns", "rows", "status"}`` of at most ``limit`` rows; a result of
+    more says ``"truncated":true``. Whole results go to a writer over ``row_json``."""
+    rows = [r["row"] for r in row_json(df).limit(limit + 1).collect()]
+    cut = ',"truncated":true' if len(rows) > limit else ""
+    return '{"columns":' + json.dumps(df.columns) + ',"rows":[' + ",".join(rows[:limit]) + '],"status":"ok"' + cut + "}"
 
 
 def table(df: DataFrame, limit: int = 100) -> str:
