@@ -49,11 +49,11 @@ SAMPLE_ROWS, NEIGHBOURS, BLOCK = 6000, 15, 64
 #: Likelihood-ratio statistic at which a term weighs half of what it can.
 HALF_GAIN = 11.0
 #: A term in this share of the examples is frequent; blocks opened at first.
-FREQUENT, FIRST_BLOCKS = 1 / 16, 8
+FREQUENT, FIRST_BLOCKS = 1 / 16, 4
 #: Texts whose neighbours are looked for together.
 TEXTS = 64
 #: Chunks of text whose terms a task remembers, and letters of a word's stem.
-KNOWN_CHUNKS, STEM = 100_000, 4
+KNOWN_CHUNKS, STEM = 300_000, 4
 LETTERS = re.compile(r"[^\W\d_]+")
 #: What single precision may be off by in a cosine.
 SLACK = 3e-6
@@ -72,6 +72,7 @@ class Terms:
     def _forget(self) -> None:
         self.places: dict[str, int] = {}
         self.more: dict[str, list[int]] = {}
+        self.stems: dict[str, int] = {}
         self.pairs, self.used = np.empty((2 * KNOWN_CHUNKS, 2), np.int64), 0
 
     def _learn(self, chunks: list[str]) -> None:
@@ -87,17 +88,19 @@ class Terms:
                 self.more[chunk] = list(range(self.used + len(words) + 1, self.used + len(words) + len(found)))
             words += found or [""]
         named = [i for i, w in enumerate(words) if w]
-        stems = [i for i in named if len(words[i]) > STEM]
-        hashes = np.array([h(words[i] + "$") for i in named] + [h(words[i][:STEM]) for i in stems], dtype=np.uint64).view(np.int64)
+        stems = [(i, words[i][:STEM]) for i in named if len(words[i]) > STEM]
+        new = list({s for _, s in stems}.difference(self.stems))
+        hashes = np.array([h(words[i] + "$") for i in named] + [h(s) for s in new], dtype=np.uint64).view(np.int64)
         if self.vocabulary is not None:
             at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
             hashes = np.where(self.vocabulary[at] == hashes, at, -1) if len(self.vocabulary) else np.full(len(hashes), -1)
+        self.stems.update(zip(new, hashes[len(named) :].tolist()))
         end = self.used + len(words)
         if end > len(self.pairs):
             self.pairs = np.concatenate([self.pairs, np.empty((end, 2), np.int64)])
         self.pairs[self.used : end] = -1
         self.pairs[self.used + np.array(named, np.int64), 0] = hashes[: len(named)]
-        self.pairs[self.used + np.array(stems, np.int64), 1] = hashes[len(named) :]
+        self.pairs[self.used + np.array([i for i, _ in stems], np.int64), 1] = [self.stems[s] for _, s in stems]
         self.used = end
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
