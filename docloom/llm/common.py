@@ -31,12 +31,12 @@ def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/docloom/{spark.sparkContext.applicationId}"
 
 
-def write_shared(df: DataFrame, name: str) -> DataFrame:
+def write_shared(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the
     lineage ends there and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -47,7 +47,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = toxicity.classify(docs, _table(spark, sf_dir, "labels"), "toxic", 0.5)
+    scored = toxicity.classify(docs, _table(spark, sf_dir, "labels"), "toxic", 0.5, columns=["doc_id"])
     return scored.select("row.doc_id", crc_fold("row.doc_id").alias("held_out"), "score", "predicted", "neighbours")
 
 

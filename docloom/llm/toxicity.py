@@ -152,10 +152,10 @@ class Index:
         weights = np.concatenate([np.empty(0), *(w for _, w in vectors)])
         # Forward: the terms of each example in order, for its exact cosine.
         order = np.lexsort((all_terms, own))
-        self.own_terms, self.own_weights = all_terms[order].astype(np.int32), weights[order]
+        self.own_terms, self.own_weights = all_terms[order], weights[order]
         self.own_starts = np.searchsorted(own, np.arange(len(vectors) + 1))
         order = np.lexsort((own, all_terms))
-        self.slots, self.weights = own[order], weights[order].astype(np.float32)
+        self.slots, self.weights = own[order].astype(np.int64), weights[order].astype(np.float32)
         self.starts = np.searchsorted(all_terms[order], np.arange(terms + 1))
         frequent = np.flatnonzero(np.diff(self.starts) > FREQUENT * len(vectors))
         self.row = np.full(terms, -1, np.int32)
@@ -190,7 +190,7 @@ class Index:
             starts = self.starts[terms[rare]]
             lengths = self.starts[terms[rare] + 1] - starts
             at = _ranges(starts, lengths)
-            sums = np.bincount(self.slots[at], self.weights[at] * np.repeat(weights[rare], lengths), minlength=self.blocks * BLOCK).reshape(-1, BLOCK)
+            sums = np.bincount(self.slots.take(at), self.weights.take(at) * np.repeat(weights[rare], lengths), minlength=self.blocks * BLOCK).reshape(-1, BLOCK)
             rows, light = row[often], weights[often].astype(np.float32)
             # Sums are in single precision; the bounds allow for what that is off by.
             bound = sums.max(axis=1) + light @ self.most[rows] + SLACK
@@ -226,13 +226,11 @@ class Index:
 
     def _cosines(self, terms: np.ndarray, weights: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Cosines of some examples in double precision."""
-        starts = self.own_starts[places]
-        lengths = self.own_starts[places + 1] - starts
-        at = _ranges(starts, lengths)
         self.asked[terms] = weights
-        products = self.asked[self.own_terms[at]] * self.own_weights[at]
+        parts = zip(self.own_starts[places].tolist(), self.own_starts[places + 1].tolist())
+        found = np.array([(self.asked.take(self.own_terms[a:b]) * self.own_weights[a:b]).sum() for a, b in parts])
         self.asked[terms] = 0.0
-        return np.bincount(np.repeat(np.arange(len(places)), lengths), products, minlength=len(places))
+        return found
 
     def _opened(self, sums: np.ndarray, blocks: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """The cosines of the examples of some blocks, in single precision."""
@@ -251,23 +249,17 @@ def weighed(counts: np.ndarray, factor: np.ndarray) -> np.ndarray:
     return raw / (np.sqrt((raw * raw).sum()) or 1.0)
 
 
-class Scorer:
-    """What a task needs to score texts; ``model`` is only read."""
-
-    def __init__(self, model: dict):
-        self.model, self.terms = model, Terms(model["vocabulary"])
-
-    def votes(self, texts: list[str | None]) -> Iterator[tuple[tuple[float, float], list[tuple[float, int]]]]:
-        """For each text the log odds of the weighted votes and its size, and its neighbours."""
-        m = self.model
-        for at in range(0, len(texts), TEXTS):
-            counted = [self.terms.counts(t) for t in texts[at : at + TEXTS]]
-            found = m["index"].search_many([(t, weighed(n, m["factor"][t])) for t, n in counted], NEIGHBOURS)
-            for (_, counts), near in zip(counted, found):
-                mass = 0.05 * np.array([1 - m["base"], m["base"]])
-                for cosine, i in near:
-                    mass[m["labels"][i]] += cosine**2 * m["weight"][m["labels"][i]]
-                yield (float(np.log(mass[1] / mass[0])), float(np.log(1 + counts.sum()))), near
+def votes(m: dict, counted: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[tuple[float, float], list[tuple[float, int]]]]:
+    """For each text, given as its terms and their counts, the log odds of the
+    weighted votes and its size, and its neighbours."""
+    for at in range(0, len(counted), TEXTS):
+        some = counted[at : at + TEXTS]
+        found = m["index"].search_many([(t, weighed(n, m["factor"][t])) for t, n in some], NEIGHBOURS)
+        for (_, counts), near in zip(some, found):
+            mass = 0.05 * np.array([1 - m["base"], m["base"]])
+            for cosine, i in near:
+                mass[m["labels"][i]] += cosine**2 * m["weight"][m["labels"][i]]
+            yield (float(np.log(mass[1] / mass[0])), float(np.log(1 + counts.sum()))), near
 
 
 def gain(a: np.ndarray, b: np.ndarray, big_a: int, big_b: int) -> np.ndarray:
@@ -277,28 +269,48 @@ def gain(a: np.ndarray, b: np.ndarray, big_a: int, big_b: int) -> np.ndarray:
     return np.maximum(0.0, 2 * (part(a, big_a * rate) + part(b, big_b * rate) + part(big_a - a, big_a * (1 - rate)) + part(big_b - b, big_b * (1 - rate))))
 
 
-def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
-    """In how many documents each term is, and how many there are."""
+def counted(docs: DataFrame, vocabulary: np.ndarray, columns: list[str] | None = None) -> DataFrame:
+    """``(row struct, terms, counts)`` of every row as a shared table, so that
+    texts are cut into terms once. The struct holds ``columns`` (all, if none
+    are named); terms are kept as their differences."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def counted(batches):
-        terms, n, seen = Terms(shared.value), 0, np.zeros(len(shared.value), np.int64)
+    @F.pandas_udf("terms binary, counts binary")
+    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        terms = Terms(shared.value)
+        for texts in batches:
+            both = [terms.counts(t) for t in texts]
+            yield pd.DataFrame({"terms": [np.diff(t, prepend=0).astype(np.int32).tobytes() for t, _ in both], "counts": [n.astype(np.int32).tobytes() for _, n in both]})
+
+    rows = docs.select(F.struct(*(columns or ["*"])).alias("row"), packed(F.col("text").cast("string")).alias("own"))
+    return write_shared(rows.select("row", "own.terms", "own.counts"), "counted", "zstd")
+
+
+def unpacked(terms: pd.Series, counts: pd.Series) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Terms and counts as ``counted`` wrote them."""
+    return [(np.cumsum(np.frombuffer(t, np.int32), dtype=np.int64), np.frombuffer(n, np.int32)) for t, n in zip(terms, counts)]
+
+
+def frequencies(table: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """In how many rows of ``counted`` each of ``size`` terms is, and how many rows there are."""
+    def summed(batches):
+        n, seen = 0, np.zeros(size, np.int64)
         for pdf in batches:
             n += len(pdf)
-            for text in pdf["text"]:
-                seen[terms.counts(text)[0]] += 1
+            for terms, _ in unpacked(pdf["terms"], pdf["counts"]):
+                seen[terms] += 1
         held = np.flatnonzero(seen)
         yield pd.DataFrame({"term": np.append(held, -1), "n": np.append(seen[held], n)}).astype({"term": "int32"})
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(counted, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(vocabulary), np.int64)
+    found = table.select("terms", "counts").mapInPandas(summed, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(size, np.int64)
     terms, n = found["term"].to_numpy(), found["n"].to_numpy()
     out[terms[terms >= 0]] = n[terms >= 0]
     return out, int(n[terms < 0].sum())
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE_ROWS) -> dict | None:
-    """Vocabulary, term factors, indexed examples and calibration.
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE_ROWS, columns: list[str] | None = None) -> dict | None:
+    """Vocabulary, term factors, indexed examples and calibration, and ``docs`` as ``counted``.
 
     Half of the sample, dealt by a hash of the id, makes the examples and the
     other half the calibration; where a half lacks a class, both are all of it.
@@ -325,7 +337,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     own = np.repeat(y, [len(h) for h in hashes])
     vocabulary, places = np.unique(np.concatenate([np.empty(0, np.int64), *hashes]), return_inverse=True)
     in_class = [np.bincount(places[own == v], minlength=len(vocabulary)) for v in (1, 0)]
-    df, total = frequencies(docs, vocabulary)
+    table = counted(docs, vocabulary, columns)
+    df, total = frequencies(table, len(vocabulary))
     g = gain(*in_class, int((y == 1).sum()), int((y == 0).sum()))
     factor = (1 + np.log((1 + total) / (1 + df))) * g / (g + HALF_GAIN)
     split = np.split(places, np.cumsum([len(h) for h in hashes])[:-1])
@@ -346,41 +359,41 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def voted(batches):
-        scorer = Scorer(shared.value)
+        terms = Terms(shared.value["vocabulary"])
         for pdf in batches:
-            x = np.array([x for x, _ in scorer.votes(pdf["text"].tolist())]).reshape(-1, 2)
+            x = np.array([x for x, _ in votes(shared.value, [terms.counts(t) for t in pdf["text"]])]).reshape(-1, 2)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "odds": x[:, 0], "size": x[:, 1]})
 
     held = rest.mapInPandas(voted, "doc_id long, label int, odds double, size double").orderBy("doc_id", "label", "odds", "size").toPandas()
     y = held["label"].to_numpy(float)
     by_class = np.array([share[int(v)] / max(1, (y == v).sum()) for v in y])
-    return {"shared": shared, "curve": fit_logistic(held[["odds", "size"]].to_numpy(), y, by_class / by_class.mean())}
+    return {"shared": shared, "curve": fit_logistic(held[["odds", "size"]].to_numpy(), y, by_class / by_class.mean()), "counted": table}
 
 
-def scores(docs: DataFrame, shared: Broadcast, curve: list[float]) -> DataFrame:
-    """``(row struct, score, neighbours)`` of every row."""
+def scores(table: DataFrame, shared: Broadcast, curve: list[float]) -> DataFrame:
+    """``(row struct, score, neighbours)`` of every row of ``counted``."""
     @F.pandas_udf(f"score double, neighbours {NEAR}")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(shared.value)
-        ids, labels = scorer.model["ids"], scorer.model["labels"]
+    def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        ids, labels = shared.value["ids"], shared.value["labels"]
         a, b, c = curve
-        for texts in batches:
+        for terms, counts in batches:
             out, near = [], []
-            for x, found in scorer.votes(texts.tolist()):
+            for x, found in votes(shared.value, unpacked(terms, counts)):
                 out.append(float(1 / (1 + np.exp(-np.clip(a * x[0] + b * x[1] + c, -30, 30)))))
                 near.append([{"doc_id": int(ids[i]), "cosine": s, "label": int(labels[i])} for s, i in found])
             yield pd.DataFrame({"score": out, "neighbours": near})
 
-    rows = docs.select(F.struct("*").alias("row"))
-    return rows.withColumn("s", scored(F.col("row.text").cast("string"))).select("row", "s.score", "s.neighbours")
+    return table.withColumn("s", scored("terms", "counts")).select("row", "s.score", "s.neighbours")
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", cut: float = 0.5, model: dict | None = None) -> DataFrame:
-    """``(row struct, score, neighbours, predicted)`` of every row; the
-    neighbours are the labelled examples that gave the votes."""
-    fitted = model or train(docs, labels, label)
+def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", cut: float = 0.5, model: dict | None = None, columns: list[str] | None = None) -> DataFrame:
+    """``(row struct, score, neighbours, predicted)`` of every row; the struct
+    holds ``columns`` (all, if none are named), the neighbours are the labelled
+    examples that gave the votes."""
+    fitted = model or train(docs, labels, label, columns=columns)
     if fitted is None:
-        done = docs.select(F.struct("*").alias("row"), F.lit(0.0).alias("score"), F.expr(f"cast(null as {NEAR})").alias("neighbours"))
+        done = docs.select(F.struct(*(columns or ["*"])).alias("row"), F.lit(0.0).alias("score"), F.expr(f"cast(null as {NEAR})").alias("neighbours"))
     else:
-        done = scores(docs, fitted["shared"], fitted["curve"])
+        table = counted(docs, fitted["shared"].value["vocabulary"], columns) if model else fitted["counted"]
+        done = scores(table, fitted["shared"], fitted["curve"])
     return done.withColumn("predicted", (F.col("score") >= cut).cast("int"))
