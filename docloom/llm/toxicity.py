@@ -37,6 +37,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -132,32 +134,39 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
 
 
+def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The numbers of a column of binary values, one after another."""
+    return np.concatenate([np.empty(0, kind), *(np.frombuffer(v.as_buffer(), kind) for v in column if len(v.as_buffer()))])
+
+
 class Index:
     """Examples as block-max postings; ``nearest`` is exact."""
 
     def __init__(self, vectors: list[dict[int, float]], terms: int):
-        self._build([(np.array(list(v), np.int64), np.array(list(v.values()))) for v in vectors], terms)
+        starts = np.cumsum([0, *(len(v) for v in vectors)])
+        self._build(np.array([t for v in vectors for t in sorted(v)], np.int32), np.array([v[t] for v in vectors for t in sorted(v)]), starts, terms)
 
     @classmethod
-    def of(cls, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> Index:
-        """The index of vectors given as terms and their weights."""
+    def of(cls, own_terms: np.ndarray, own_weights: np.ndarray, own_starts: np.ndarray, terms: int) -> Index:
+        """The index of vectors one after another: example i has the places
+        from ``own_starts[i]`` on, its terms in order."""
         own = cls.__new__(cls)
-        own._build(vectors, terms)
+        own._build(own_terms.astype(np.int32), own_weights, own_starts, terms)
         return own
 
-    def _build(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> None:
-        self.blocks = -(-len(vectors) // BLOCK)
-        own = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
-        all_terms = np.concatenate([np.empty(0, np.int64), *(t for t, _ in vectors)])
-        weights = np.concatenate([np.empty(0), *(w for _, w in vectors)])
-        # Forward: the terms of each example in order, for its exact cosine.
-        order = np.lexsort((all_terms, own))
-        self.own_terms, self.own_weights = all_terms[order], weights[order]
-        self.own_starts = np.searchsorted(own, np.arange(len(vectors) + 1))
-        order = np.lexsort((own, all_terms))
-        self.slots, self.weights = own[order].astype(np.int64), weights[order].astype(np.float32)
-        self.starts = np.searchsorted(all_terms[order], np.arange(terms + 1))
-        frequent = np.flatnonzero(np.diff(self.starts) > FREQUENT * len(vectors))
+    def __reduce__(self):
+        """Only the vectors travel; the postings are made where they arrive."""
+        return Index.of, (self.own_terms, self.own_weights, self.own_starts, len(self.starts) - 1)
+
+    def _build(self, own_terms: np.ndarray, own_weights: np.ndarray, own_starts: np.ndarray, terms: int) -> None:
+        n = len(own_starts) - 1
+        self.blocks = -(-n // BLOCK)
+        # Forward: the terms of each example, for its exact cosine.
+        self.own_terms, self.own_weights, self.own_starts = own_terms, own_weights, own_starts
+        order = np.argsort(own_terms, kind="stable")
+        self.slots, self.weights = np.repeat(np.arange(n), np.diff(own_starts))[order], own_weights.astype(np.float32)[order]
+        self.starts = np.searchsorted(own_terms, np.arange(terms + 1), sorter=order)
+        frequent = np.flatnonzero(np.diff(self.starts) > FREQUENT * n)
         self.row = np.full(terms, -1, np.int32)
         self.row[frequent] = np.arange(len(frequent))
         # A frequent term's postings are kept with their gaps: one weight a slot.
@@ -330,33 +339,38 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
             both = [terms.counts(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "terms": [t.tobytes() for t, _ in both], "counts": [n.astype(np.int32).tobytes() for _, n in both]})
 
-    found = examples.mapInPandas(made, "doc_id long, label int, terms binary, counts binary").orderBy("doc_id", "label", "terms", "counts").toPandas()
-    hashes = [np.frombuffer(x, np.int64) for x in found["terms"]]
-    counts = [np.frombuffer(x, np.int32) for x in found["counts"]]
-    y = found["label"].to_numpy(np.int64)
-    own = np.repeat(y, [len(h) for h in hashes])
-    vocabulary, places = np.unique(np.concatenate([np.empty(0, np.int64), *hashes]), return_inverse=True)
-    in_class = [np.bincount(places[own == v], minlength=len(vocabulary)) for v in (1, 0)]
+    found = examples.mapInPandas(made, "doc_id long, label int, terms binary, counts binary").orderBy("doc_id", "label", "terms", "counts").toArrow()
+    ids, y = found["doc_id"].to_numpy(), found["label"].to_numpy().astype(np.int64)
+    lengths = np.array(pc.binary_length(found["terms"]), np.int64) // 8
+    hashes, counts = _joined(found["terms"], np.int64), _joined(found["counts"], np.int32)
+    del found
+    own = np.repeat(np.arange(len(y)), lengths)
+    vocabulary, places = np.unique(hashes, return_inverse=True)
+    in_class = [np.bincount(places[y[own] == v], minlength=len(vocabulary)) for v in (1, 0)]
     table = counted(docs, vocabulary, columns)
     df, total = frequencies(table, len(vocabulary))
     g = gain(*in_class, int((y == 1).sum()), int((y == 0).sum()))
     factor = (1 + np.log((1 + total) / (1 + df))) * g / (g + HALF_GAIN)
-    split = np.split(places, np.cumsum([len(h) for h in hashes])[:-1])
-    vectors = [(t, weighed(n, factor[t])) for t, n in zip(split, counts)]
+    weights = (1 + np.log(counts)) * factor[places]
+    norms = np.sqrt(np.bincount(own, weights * weights, minlength=len(y)))
+    weights /= np.where(norms > 0, norms, 1.0)[own]
     # Examples with the same heaviest term lie in the same blocks.
-    heaviest = np.array([t[np.argmax(w)] if len(t) else -1 for t, w in vectors])
-    order = np.lexsort((found["doc_id"].to_numpy(), heaviest))
+    starts = np.cumsum(lengths) - lengths
+    heaviest = [places[a + np.argmax(weights[a : a + n])] if n else -1 for a, n in zip(starts, lengths)]
+    order = np.lexsort((ids, heaviest))
+    at = _ranges(starts[order], lengths[order])
     weight = {v: share[v] / sum(n for (inside, c), n in totals.items() if c == v and (inside or not halves)) for v in (0, 1)}
     model = {
         "vocabulary": vocabulary,
         "factor": factor,
-        "ids": found["doc_id"].to_numpy()[order],
+        "ids": ids[order],
         "labels": y[order],
-        "index": Index.of([vectors[i] for i in order], len(vocabulary)),
+        "index": Index.of(places[at], weights[at], np.append(0, np.cumsum(lengths[order])), len(vocabulary)),
         "weight": weight,
         "base": share[1] / (share[0] + share[1]),
     }
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    del model, hashes, counts, places, weights, own, at
 
     def voted(batches):
         terms = Terms(shared.value["vocabulary"])

@@ -1,6 +1,7 @@
 """Toxicity against brute-force cosine, and labels that give no model."""
 
 import math
+import pickle
 import random
 from collections import Counter
 
@@ -91,3 +92,15 @@ def test_odd_labels(spark):
     twice = docs.unionByName(docs.limit(40)).unionByName(docs_of(spark, [(None, "Horrid"), (5, None), (7, "")]))
     done = toxicity.classify(twice, odd).select("row.doc_id", "score", "predicted").collect()
     assert len(done) == 343 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in done)
+
+
+def test_kept_columns(spark):
+    """The struct holds the named columns; the scores stay, and the index travels whole."""
+    rows, docs, labels = labelled(spark, 60)
+    model = toxicity.train(docs, labels)
+    both = [toxicity.classify(docs, labels, model=model, columns=c) for c in (None, ["doc_id"])]
+    assert both[1].select("row.*").columns == ["doc_id"]
+    assert [sorted(map(tuple, d.select("row.doc_id", "score", "predicted").collect())) for d in both][0] == sorted(map(tuple, both[1].select("row.doc_id", "score", "predicted").collect()))
+    index = model["shared"].value["index"]
+    again = pickle.loads(pickle.dumps(index))
+    assert all(np.array_equal(getattr(index, a), getattr(again, a)) for a in ("slots", "weights", "starts", "dense", "most"))
