@@ -54,7 +54,7 @@ HALF_GAIN = 11.0
 FREQUENT, FIRST_BLOCKS = 1 / 16, 4
 #: Texts whose neighbours are looked for together.
 TEXTS = 64
-#: Chunks of text whose terms a task remembers, and letters of a word's stem.
+#: Chunks of letters (words) whose terms a task remembers, and letters of a word's stem.
 KNOWN_CHUNKS, STEM = 300_000, 4
 LETTERS = re.compile(r"[^\W\d_]+")
 #: What single precision may be off by in a cosine.
@@ -64,7 +64,7 @@ NEAR = "array<struct<doc_id: long, cosine: double, label: int>>"
 
 class Terms:
     """Texts as terms, by their place in a sorted vocabulary of term hashes
-    (or by hash, without one). What chunks stand for is remembered within
+    (or by hash, without one). What words stand for is remembered within
     bounds and goes with the object."""
 
     def __init__(self, vocabulary: np.ndarray | None = None):
@@ -73,57 +73,44 @@ class Terms:
 
     def _forget(self) -> None:
         self.places: dict[str, int] = {}
-        self.more: dict[str, list[int]] = {}
         self.stems: dict[str, int] = {}
-        self.pairs, self.used = np.empty((2 * KNOWN_CHUNKS, 2), np.int64), 0
+        self.pairs = np.empty((KNOWN_CHUNKS, 2), np.int64)
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Note each word's own term and its stem's; -1 stands for none."""
         import xxhash
 
         h = xxhash.xxh64_intdigest
-        words: list[str] = []
-        for chunk in chunks:
-            found = LETTERS.findall(chunk)
-            self.places[chunk] = self.used + len(words)
-            if len(found) > 1:
-                self.more[chunk] = list(range(self.used + len(words) + 1, self.used + len(words) + len(found)))
-            words += found or [""]
-        named = [i for i, w in enumerate(words) if w]
-        stems = [(i, words[i][:STEM]) for i in named if len(words[i]) > STEM]
-        new = list({s for _, s in stems}.difference(self.stems))
-        hashes = np.array([h(words[i] + "$") for i in named] + [h(s) for s in new], dtype=np.uint64).view(np.int64)
+        stems = [w[:STEM] for w in words if len(w) > STEM]
+        new = list(set(stems).difference(self.stems))
+        hashes = np.array([h(w + "$") for w in words] + [h(s) for s in new], dtype=np.uint64).view(np.int64)
         if self.vocabulary is not None:
             at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
             hashes = np.where(self.vocabulary[at] == hashes, at, -1) if len(self.vocabulary) else np.full(len(hashes), -1)
-        self.stems.update(zip(new, hashes[len(named) :].tolist()))
-        end = self.used + len(words)
+        self.stems.update(zip(new, hashes[len(words) :].tolist()))
+        start, end = len(self.places), len(self.places) + len(words)
+        self.places.update(zip(words, range(start, end)))
         if end > len(self.pairs):
             self.pairs = np.concatenate([self.pairs, np.empty((end, 2), np.int64)])
-        self.pairs[self.used : end] = -1
-        self.pairs[self.used + np.array(named, np.int64), 0] = hashes[: len(named)]
-        self.pairs[self.used + np.array([i for i, _ in stems], np.int64), 1] = [self.stems[s] for _, s in stems]
-        self.used = end
+        self.pairs[start:end, 0], self.pairs[start:end, 1] = hashes[: len(words)], -1
+        self.pairs[start + np.flatnonzero([len(w) > STEM for w in words]), 1] = [self.stems[s] for s in stems]
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Terms of the whole text in order, and how often each occurs."""
-        chunks = Counter((text or "").lower().split())
-        if len(self.places) + len(chunks) > KNOWN_CHUNKS:
+        words = Counter(LETTERS.findall((text or "").lower()))
+        if len(self.places) + len(words) > KNOWN_CHUNKS:
             self._forget()
-        if new := [c for c in chunks if c not in self.places]:
-            self._learn(new)
-        rows = list(map(self.places.__getitem__, chunks))
-        times = list(chunks.values())
-        for chunk in self.more.keys() & chunks.keys():
-            rows += self.more[chunk]
-            times += [chunks[chunk]] * len(self.more[chunk])
-        pairs = self.pairs[np.array(rows, np.int64)].ravel()
-        counts = np.repeat(np.array(times, np.int64), 2)
+        if new := set(words).difference(self.places):
+            self._learn(list(new))
+        rows = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        pairs = self.pairs.take(rows, axis=0).ravel()
+        counts = np.repeat(np.fromiter(words.values(), np.int64, len(words)), 2)
         held = pairs != -1
-        order = np.argsort(pairs[held], kind="stable")
-        pairs, counts = pairs[held][order], counts[held][order]
+        pairs, counts = pairs[held], counts[held]
         if not len(pairs):
             return pairs, counts
+        order = np.argsort(pairs, kind="stable")
+        pairs, counts = pairs[order], counts[order]
         first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
         return pairs[first], np.add.reduceat(counts, first)
 
@@ -209,23 +196,27 @@ class Index:
             least = max(SLACK, np.partition(found.ravel(), -k)[-k] - SLACK) if found.size >= k else SLACK
             rest = rest[bound[rest] >= least]
             if 4 * len(rest) > self.blocks:
-                whole.append((i, sums, rows, light))
+                whole.append((i, sums, rows, light, least))
                 continue
             if len(rest):
                 found, first = np.concatenate([found, self._opened(sums, rest, rows, light)]), np.concatenate([first, rest])
-            out[i] = self._best(terms, weights, found, first, k)
+            out[i] = self._best(terms, weights, found, first, k, least)
         if whole:
             asked = np.zeros((len(whole), len(self.dense)), np.float32)
-            for j, (_, _, rows, light) in enumerate(whole):
+            for j, (_, _, rows, light, _) in enumerate(whole):
                 asked[j, rows] = light
-            for (i, sums, _, _), added in zip(whole, asked @ self.dense):
-                out[i] = self._best(*vectors[i], sums + added.reshape(-1, BLOCK), np.arange(self.blocks), k)
+            for (i, sums, _, _, least), added in zip(whole, asked @ self.dense):
+                out[i] = self._best(*vectors[i], sums + added.reshape(-1, BLOCK), np.arange(self.blocks), k, least)
         return out
 
-    def _best(self, terms: np.ndarray, weights: np.ndarray, found: np.ndarray, blocks: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k best of the examples of ``blocks``, ``found`` being about their cosines."""
+    def _best(self, terms: np.ndarray, weights: np.ndarray, found: np.ndarray, blocks: np.ndarray, k: int, least: float) -> list[tuple[float, int]]:
+        """The k best of the examples of ``blocks``, ``found`` being about their
+        cosines and ``least``, less what that is off by, reached by all of the k."""
         near = found.ravel()
-        at = np.flatnonzero(near >= np.partition(near, -k)[-k] - 2 * SLACK) if near.size > k else np.arange(near.size)
+        at = np.flatnonzero(near >= least - SLACK)
+        if len(at) > k:
+            near = near[at]
+            at = at[near >= np.partition(near, -k)[-k] - 2 * SLACK]
         places = blocks[at // BLOCK] * BLOCK + at % BLOCK
         places = places[places < len(self.own_starts) - 1]
         near = self._cosines(terms, weights, places)
