@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of the corpus contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: The folder within the application's own that tables are written to.
+_FOLDER: ContextVar[str] = ContextVar("folder", default="")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,11 +36,33 @@ def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/docloom/{spark.sparkContext.applicationId}"
 
 
+@contextmanager
+def tables_in(folder: str) -> Iterator[None]:
+    """What ``write_shared`` writes meanwhile goes to a folder of that name."""
+    before = _FOLDER.set(f"{_FOLDER.get()}/{folder}")
+    try:
+        yield
+    finally:
+        _FOLDER.reset(before)
+
+
+def drop_tables(spark: SparkSession, folder: str, but: DataFrame) -> None:
+    """Delete the tables of ``tables_in(folder)`` that ``but`` doesn't read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{own_dir(spark)}{_FOLDER.get()}/{folder}")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return
+    read = {file.rsplit("/", 2)[1] for file in but.inputFiles()}
+    for table in store.listStatus(path):
+        if table.getPath().getName() not in read:
+            store.delete(table.getPath(), True)
+
+
 def write_shared(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the
     lineage ends there and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}{_FOLDER.get()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
