@@ -15,7 +15,10 @@ score depends on the row alone and is taken off through one more attribute.
 
 Rows are blocked by a hash of the id, queries likewise, and every query block
 meets every row block by key: memory is bounded by the two blocks, and no pair
-of row and query is ever a row of a table.
+of row and query is ever a row of a table. Row blocks stand on ``SHELVES``
+shelves, and a query block is copied to each shelf and not to each block, so
+that what is moved grows as the input. It is never broadcast: Spark can't see
+from the size of the queries how large their copies are.
 
 Defined cases: vectors that are null, empty or hold null or non-finite
 components take no part, nor do rows with a null id; vectors whose length
@@ -39,10 +42,17 @@ from docloom.llm.vectors import best, prepared, stack
 
 #: Rows of an index block and of a query block, queries worked on at once.
 BLOCK_ROWS, QUERY_ROWS, AT_ONCE = 4096, 512, 32
+#: Most copies of a query block.
+SHELVES = 128
 #: Largest quantised component.
 LIMIT = 1 << 26
 
 
+def _compact(q: np.ndarray) -> np.ndarray:
+    """Integers in the smallest type that holds them all."""
+    return q.astype(np.promote_types(np.min_scalar_type(min(-1, int(q.min(initial=0)))), np.min_scalar_type(-1 - int(q.max(initial=0)))))
+
+
 def _slices(values: np.ndarray) -> list[np.ndarray]:
     """Non-negative integers as packed bitmaps, least significant first."""
     pad = -len(values) % 64
@@ -59,7 +69,7 @@ def build_block(ids: np.ndarray, q: np.ndarray) -> dict:
     total = shifted.sum(axis=1)
     return {
         "ids": ids,
-        "rows": q,
+        "rows": _compact(q),
         "low": low,
         "slices": [_slices(shifted[:, d]) for d in range(q.shape[1])],
         "rest": _slices(total.max() - total),
@@ -134,9 +144,9 @@ def search_block(block: dict, ids: np.ndarray, queries: np.ndarray, k: int) -> l
     extra = int(own[1].max(initial=0))
     out = []
     for at in range(0, len(ids), AT_ONCE):
-        q = queries[at : at + AT_ONCE]
+        q = queries[at : at + AT_ONCE].astype(np.int64)
         for i, rows in enumerate(select(scores(block, q), len(block["ids"]), len(q), k + extra)):
-            exact = block["rows"][rows] @ q[i]
+            exact = block["rows"][rows].astype(np.int64) @ q[i]
             near = sorted((-int(s), int(block["ids"][r])) for s, r in zip(exact, rows) if block["ids"][r] != ids[at + i])
             out += [(int(ids[at + i]), v, -s) for s, v in near[:k]]
     return out
@@ -158,14 +168,17 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 25
 
     def groups(pdf: pd.DataFrame) -> pd.DataFrame:
         q = stack(pdf["q"], int(pdf["dim"].iloc[0]), np.int64)
-        return pd.DataFrame({"dim": [q.shape[1]], "group": [int(pdf["block"].iloc[0])], "asked": [pickle.dumps((pdf["vec_id"].to_numpy(), q))]})
+        return pd.DataFrame({"dim": [q.shape[1]], "group": [int(pdf["block"].iloc[0])], "asked": [pickle.dumps((pdf["vec_id"].to_numpy(), _compact(q)))]})
 
     dealt = {name: t.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(counts[name]))) for name, t in both.items()}
     index = dealt["rows"].groupBy("dim", "block").applyInPandas(blocks, "dim int, block int, packed binary")
     asked = dealt["queries"].groupBy("dim", "block").applyInPandas(groups, "dim int, group int, asked binary")
-    pairs = write_shared(index, "index").join(
-        asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(counts["rows"] - 1)))), ["dim", "block"]
-    )
+    shelves = min(SHELVES, counts["rows"])
+    shelved = write_shared(index, "index").withColumn("shelf", F.col("block") % shelves)
+    copied = write_shared(asked, "asked").withColumn("shelf", F.explode(F.sequence(F.lit(0), F.lit(shelves - 1))))
+    # A number of partitions is named as little data makes much work here: Spark would put it into few tasks.
+    left, right = (t.repartition(2 * shelves, "dim", "shelf") for t in (shelved, copied))
+    pairs = left.join(right.hint("merge"), ["dim", "shelf"])
 
     def search(batches):
         for pdf in batches:
