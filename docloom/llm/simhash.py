@@ -44,23 +44,34 @@ BROADCAST_ROWS = 1_000_000
 SLICE = 200_000
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The unsigned 64-bit SimHash of the lower-cased words' shingles."""
+def hashes(text: str | None, width: int) -> np.ndarray:
+    """The unsigned 64-bit hashes of the lower-cased words' shingles, in order
+    and with repeats."""
     import xxhash
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - width + 1)
-    lo, hi = starts[:n].tolist(), ends[-n:].tolist()
-    h, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, n, SLICE):
-        part = np.array([h(joined[a:b], SEED) for a, b in zip(lo[at : at + SLICE], hi[at : at + SLICE])], dtype="<u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    lo, hi, h = starts[:n].tolist(), ends[-n:].tolist(), xxhash.xxh64_intdigest
+    parts = [np.array([h(joined[a:b], SEED) for a, b in zip(lo[at : at + SLICE], hi[at : at + SLICE])], dtype="<u8") for at in range(0, n, SLICE)]
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
+def majority(found: np.ndarray) -> int:
+    """The bits set in over half of some hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(found), SLICE):
+        counts += np.unpackbits(found[at : at + SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(found), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The unsigned 64-bit SimHash of the lower-cased words' shingles."""
+    return majority(hashes(text, width))
 
 
 def fingerprints(text: Column, width: int = 3) -> Column:
