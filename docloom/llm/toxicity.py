@@ -237,6 +237,17 @@ class Index:
         return sums[blocks] + np.tensordot(weights, self.dense.reshape(len(self.dense), -1, BLOCK)[rows[:, None], blocks[None, :]], 1)
 
 
+class Vectors:
+    """What an ``Index`` is made of. It is one where it arrives, so that the
+    driver, which never searches, holds no postings."""
+
+    def __init__(self, *parts):
+        self.parts = parts
+
+    def __reduce__(self):
+        return Index.of, self.parts
+
+
 def weigh(counts: dict[int, int], factor: np.ndarray) -> tuple[tuple[int, float], ...]:
     """Unit vector of term counts under the factors of all terms."""
     terms = sorted(counts)
@@ -335,33 +346,43 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     lengths = np.array(pc.binary_length(found["terms"]), np.int64) // 8
     hashes, counts = _joined(found["terms"], np.int64), _joined(found["counts"], np.int32)
     del found
-    own = np.repeat(np.arange(len(y)), lengths)
+    pa.default_memory_pool().release_unused()
+    # The driver holds these arrays, so none is larger or kept longer than it has to be.
+    own = np.repeat(np.arange(len(y), dtype=np.int32), lengths)
     vocabulary, places = np.unique(hashes, return_inverse=True)
+    places = places.astype(np.int32)
+    del hashes
     in_class = [np.bincount(places[y[own] == v], minlength=len(vocabulary)) for v in (1, 0)]
     table = counted(docs, vocabulary, columns)
     df, total = frequencies(table, len(vocabulary))
     g = gain(*in_class, int((y == 1).sum()), int((y == 0).sum()))
     factor = (1 + np.log((1 + total) / (1 + df))) * g / (g + HALF_GAIN)
-    weights = (1 + np.log(counts)) * factor[places]
+    weights = np.log(counts)
+    del counts
+    weights += 1
+    weights *= factor[places]
     norms = np.sqrt(np.bincount(own, weights * weights, minlength=len(y)))
     weights /= np.where(norms > 0, norms, 1.0)[own]
+    del own
     # Examples with the same heaviest term lie in the same blocks.
     starts = np.cumsum(lengths) - lengths
     heaviest = [places[a + np.argmax(weights[a : a + n])] if n else -1 for a, n in zip(starts, lengths)]
     order = np.lexsort((ids, heaviest))
     at = _ranges(starts[order], lengths[order])
+    places, weights = places[at], weights[at]
+    del at
     weight = {v: share[v] / sum(n for (inside, c), n in totals.items() if c == v and (inside or not halves)) for v in (0, 1)}
     model = {
         "vocabulary": vocabulary,
         "factor": factor,
         "ids": ids[order],
         "labels": y[order],
-        "index": Index.of(places[at], weights[at], np.append(0, np.cumsum(lengths[order])), len(vocabulary)),
+        "index": Vectors(places, weights, np.append(0, np.cumsum(lengths[order])), len(vocabulary)),
         "weight": weight,
         "base": share[1] / (share[0] + share[1]),
     }
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    del model, hashes, counts, places, weights, own, at
+    del model, places, weights
 
     def voted(batches):
         terms = Terms(shared.value["vocabulary"])
