@@ -151,7 +151,7 @@ class Index:
         # Forward: the terms of each example, for its exact cosine.
         self.own_terms, self.own_weights, self.own_starts = own_terms, own_weights, own_starts
         order = np.argsort(own_terms, kind="stable")
-        self.slots, self.weights = np.repeat(np.arange(n), np.diff(own_starts))[order], own_weights.astype(np.float32)[order]
+        self.slots, self.weights = np.repeat(np.arange(n, dtype=np.int32), np.diff(own_starts))[order], own_weights.astype(np.float32)[order]
         self.starts = np.searchsorted(own_terms, np.arange(terms + 1), sorter=order)
         frequent = np.flatnonzero(np.diff(self.starts) > FREQUENT * n)
         self.row = np.full(terms, -1, np.int32)
