@@ -32,13 +32,12 @@ model: every score is 0 and no text is called toxic.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,11 +120,6 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
 
 
-def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    """The numbers of a column of binary values, one after another."""
-    return np.concatenate([np.empty(0, kind), *(np.frombuffer(v.as_buffer(), kind) for v in column if len(v.as_buffer()))])
-
-
 class Index:
     """Examples as block-max postings; ``nearest`` is exact."""
 
@@ -238,14 +232,35 @@ class Index:
 
 
 class Vectors:
-    """What an ``Index`` is made of. It is one where it arrives, so that the
-    driver, which never searches, holds no postings."""
+    """What an ``Index`` is made of: the examples as ``packed`` and the factors
+    of all terms. It is one where it arrives, so that the driver, which never
+    searches, holds neither vectors nor postings."""
 
-    def __init__(self, *parts):
-        self.parts = parts
+    def __init__(self, examples: list[bytes], factor: np.ndarray):
+        self.parts = examples, factor
 
     def __reduce__(self):
-        return Index.of, self.parts
+        return Vectors.index, self.parts
+
+    @staticmethod
+    def index(examples: list[bytes], factor: np.ndarray) -> Index:
+        starts = np.cumsum([0, *(len(counts) for _, counts in map(opened, examples))])
+        terms, weights = np.empty(starts[-1], np.int32), np.empty(starts[-1])
+        for example, a, b in zip(examples, starts, starts[1:]):
+            own, counts = opened(example)
+            terms[a:b], weights[a:b] = own, weighed(counts, factor[own])
+        return Index.of(terms, weights, starts, len(factor))
+
+
+def packed(terms: np.ndarray, counts: np.ndarray) -> bytes:
+    """Terms (places in a vocabulary, in order) and their counts in few bytes."""
+    return zlib.compress(np.concatenate([np.diff(terms, prepend=0), counts]).astype(np.int32).tobytes(), 1)
+
+
+def opened(own: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and counts as ``packed`` wrote them."""
+    both = np.frombuffer(zlib.decompress(own), np.int32).reshape(2, -1)
+    return np.cumsum(both[0], dtype=np.int64), both[1]
 
 
 def weigh(counts: dict[int, int], factor: np.ndarray) -> tuple[tuple[int, float], ...]:
@@ -287,13 +302,13 @@ def counted(docs: DataFrame, vocabulary: np.ndarray, columns: list[str] | None =
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     @F.pandas_udf("terms binary, counts binary")
-    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         terms = Terms(shared.value)
         for texts in batches:
             both = [terms.counts(t) for t in texts]
             yield pd.DataFrame({"terms": [np.diff(t, prepend=0).astype(np.int32).tobytes() for t, _ in both], "counts": [n.astype(np.int32).tobytes() for _, n in both]})
 
-    rows = docs.select(F.struct(*(columns or ["*"])).alias("row"), packed(F.col("text").cast("string")).alias("own"))
+    rows = docs.select(F.struct(*(columns or ["*"])).alias("row"), cut(F.col("text").cast("string")).alias("own"))
     return write_shared(rows.select("row", "own.terms", "own.counts"), "counted", "zstd")
 
 
@@ -341,48 +356,46 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
             both = [terms.counts(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "terms": [t.tobytes() for t, _ in both], "counts": [n.astype(np.int32).tobytes() for _, n in both]})
 
-    found = examples.mapInPandas(made, "doc_id long, label int, terms binary, counts binary").orderBy("doc_id", "label", "terms", "counts").toArrow()
-    ids, y = found["doc_id"].to_numpy(), found["label"].to_numpy().astype(np.int64)
-    lengths = np.array(pc.binary_length(found["terms"]), np.int64) // 8
-    hashes, counts = _joined(found["terms"], np.int64), _joined(found["counts"], np.int32)
-    del found
-    pa.default_memory_pool().release_unused()
-    # The driver holds these arrays, so none is larger or kept longer than it has to be.
-    own = np.repeat(np.arange(len(y), dtype=np.int32), lengths)
-    vocabulary, places = np.unique(hashes, return_inverse=True)
-    places = places.astype(np.int32)
-    del hashes
-    in_class = [np.bincount(places[y[own] == v], minlength=len(vocabulary)) for v in (1, 0)]
+    def classed(batches):
+        for pdf in batches:
+            hashes = np.frombuffer(b"".join(pdf["terms"]), np.int64)
+            terms, at = np.unique(hashes, return_inverse=True)
+            y = np.repeat(pdf["label"].to_numpy(), [len(t) // 8 for t in pdf["terms"]])
+            yield pd.DataFrame({"term": terms, "a": np.bincount(at[y == 1], minlength=len(terms)), "b": np.bincount(at[y == 0], minlength=len(terms))})
+
+    # Examples stay in a shared table; the driver gets their terms and, in the end, the packed counts.
+    found = write_shared(examples.mapInPandas(made, "doc_id long, label int, terms binary, counts binary"), "examples", "zstd")
+    in_class = found.select("label", "terms").mapInPandas(classed, "term long, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas().sort_values("term")
+    vocabulary, a, b = (in_class[c].to_numpy(np.int64) for c in ("term", "a", "b"))
+    del in_class
     table = counted(docs, vocabulary, columns)
     df, total = frequencies(table, len(vocabulary))
-    g = gain(*in_class, int((y == 1).sum()), int((y == 0).sum()))
+    big = {v: sum(n for (inside, c), n in totals.items() if c == v and (inside or not halves)) for v in (0, 1)}
+    g = gain(a, b, big[1], big[0])
     factor = (1 + np.log((1 + total) / (1 + df))) * g / (g + HALF_GAIN)
-    weights = np.log(counts)
-    del counts
-    weights += 1
-    weights *= factor[places]
-    norms = np.sqrt(np.bincount(own, weights * weights, minlength=len(y)))
-    weights /= np.where(norms > 0, norms, 1.0)[own]
-    del own
+    known = docs.sparkSession.sparkContext.broadcast((vocabulary, factor))
+
+    def placed(batches):
+        terms, factors = known.value
+        for pdf in batches:
+            both = [(np.searchsorted(terms, np.frombuffer(t, np.int64)), np.frombuffer(n, np.int32)) for t, n in zip(pdf["terms"], pdf["counts"])]
+            heaviest = [int(t[np.argmax((1 + np.log(n)) * factors[t])]) if len(t) else -1 for t, n in both]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "heaviest": heaviest, "own": [packed(*x) for x in both]})
+
     # Examples with the same heaviest term lie in the same blocks.
-    starts = np.cumsum(lengths) - lengths
-    heaviest = [places[a + np.argmax(weights[a : a + n])] if n else -1 for a, n in zip(starts, lengths)]
-    order = np.lexsort((ids, heaviest))
-    at = _ranges(starts[order], lengths[order])
-    places, weights = places[at], weights[at]
-    del at
-    weight = {v: share[v] / sum(n for (inside, c), n in totals.items() if c == v and (inside or not halves)) for v in (0, 1)}
+    examples = found.mapInPandas(placed, "doc_id long, label int, heaviest int, own binary").orderBy("heaviest", "doc_id", "label", "own").drop("heaviest").toArrow()
     model = {
         "vocabulary": vocabulary,
         "factor": factor,
-        "ids": ids[order],
-        "labels": y[order],
-        "index": Vectors(places, weights, np.append(0, np.cumsum(lengths[order])), len(vocabulary)),
-        "weight": weight,
+        "ids": examples["doc_id"].to_numpy(),
+        "labels": examples["label"].to_numpy().astype(np.int64),
+        "index": Vectors(examples["own"].to_pylist(), factor),
+        "weight": {v: share[v] / big[v] for v in (0, 1)},
         "base": share[1] / (share[0] + share[1]),
     }
+    del examples
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    del model, places, weights
+    del model
 
     def voted(batches):
         terms = Terms(shared.value["vocabulary"])
