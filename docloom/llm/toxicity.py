@@ -10,10 +10,12 @@ last factor the neighbours follow the topic and not the label. A term that no
 example holds tells nothing apart (g = 0), and so weighs nothing.
 
 Examples are held in an inverted index whose postings are cut into blocks of
-examples; frequent terms have the largest weight of each block. What the rare
-terms add up to and the maxima of the others bound every block; the blocks of
-the largest bounds are opened first, then all whose bound reaches the k-th
-best cosine found, so the neighbours are exact. Their votes, weighted by
+examples; frequent terms have the largest weight of each block, and light ones
+(``LIGHT``) only each example's norm over them. What the rare terms add up to,
+the maxima of the frequent and the norms of the light bound every block; the
+blocks of the largest bounds are opened first, then all whose bound reaches the
+k-th best cosine found. Exact cosines over all terms are worked out for every
+example whose bound reaches it, so the neighbours are exact. Their votes, weighted by
 cosine and by the classes' share of labels, are calibrated by a logistic curve
 on labelled texts outside the index.
 
@@ -32,9 +34,11 @@ model: every score is 0 and no text is called toxic.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -50,24 +54,48 @@ SAMPLE_ROWS, NEIGHBOURS, BLOCK = 6000, 15, 64
 #: Likelihood-ratio statistic at which a term weighs half of what it can.
 HALF_GAIN = 11.0
 #: A term in this share of the examples is frequent; blocks opened at first.
-FREQUENT, FIRST_BLOCKS = 1 / 16, 4
-#: Texts whose neighbours are looked for together.
-TEXTS = 64
+FREQUENT, FIRST_BLOCKS = 1 / 16, 1
+#: A term is light whose mean weight in the examples is below this share of all terms' mean.
+LIGHT = 0.25
+#: Texts whose neighbours are looked for together, and examples whose exact cosines are worked out together.
+TEXTS, CANDIDATES = 128, 256
 #: Chunks of letters (words) whose terms a task remembers, and letters of a word's stem.
 KNOWN_CHUNKS, STEM = 300_000, 4
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Latin-1 with all but letters as spaces.
+LATIN = bytes(c if LETTERS.match(chr(c)) else 32 for c in range(256))
 #: What single precision may be off by in a cosine.
 SLACK = 3e-6
 NEAR = "array<struct<doc_id: long, cosine: double, label: int>>"
 
 
+@cache
+def _letters() -> np.ndarray:
+    """All of Unicode with all but letters as spaces."""
+    table = np.full(sys.maxunicode + 1, 32, np.uint32)
+    for run in LETTERS.finditer("".join(map(chr, range(len(table))))):
+        table[run.start() : run.end()] = np.arange(run.start(), run.end())
+    return table
+
+
+def words_of(text: str | None) -> list[str]:
+    """The runs of ``LETTERS`` in the whole text, in lower case."""
+    text = (text or "").lower()
+    try:
+        return text.encode("latin-1").translate(LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return _letters().take(letters).tobytes().decode("utf-32-le").split()
+
+
 class Terms:
-    """Texts as terms, by their place in a sorted vocabulary of term hashes
+    """Texts as terms, by their place in a vocabulary of term hashes
     (or by hash, without one). What words stand for is remembered within
     bounds and goes with the object."""
 
     def __init__(self, vocabulary: np.ndarray | None = None):
         self.vocabulary = vocabulary
+        self.sorter = None if vocabulary is None else np.argsort(vocabulary)
         self._forget()
 
     def _forget(self) -> None:
@@ -75,6 +103,13 @@ class Terms:
         self.stems: dict[str, int] = {}
         self.pairs = np.empty((KNOWN_CHUNKS, 2), np.int64)
 
+    def place(self, hashes: np.ndarray) -> np.ndarray:
+        """The places of term hashes in the vocabulary; -1 stands for none."""
+        if not len(self.vocabulary):
+            return np.full(len(hashes), -1)
+        at = self.sorter[np.minimum(np.searchsorted(self.vocabulary, hashes, sorter=self.sorter), len(self.vocabulary) - 1)]
+        return np.where(self.vocabulary[at] == hashes, at, -1)
+
     def _learn(self, words: list[str]) -> None:
         """Note each word's own term and its stem's; -1 stands for none."""
         import xxhash
@@ -84,8 +119,7 @@ class Terms:
         new = list(set(stems).difference(self.stems))
         hashes = np.array([h(w + "$") for w in words] + [h(s) for s in new], dtype=np.uint64).view(np.int64)
         if self.vocabulary is not None:
-            at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-            hashes = np.where(self.vocabulary[at] == hashes, at, -1) if len(self.vocabulary) else np.full(len(hashes), -1)
+            hashes = self.place(hashes)
         self.stems.update(zip(new, hashes[len(words) :].tolist()))
         start, end = len(self.places), len(self.places) + len(words)
         self.places.update(zip(words, range(start, end)))
@@ -96,28 +130,34 @@ class Terms:
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Terms of the whole text in order, and how often each occurs."""
-        words = Counter(LETTERS.findall((text or "").lower()))
-        if len(self.places) + len(words) > KNOWN_CHUNKS:
-            self._forget()
-        if new := set(words).difference(self.places):
-            self._learn(list(new))
-        rows = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-        pairs = self.pairs.take(rows, axis=0).ravel()
+        words = Counter(words_of(text))
+        rows = list(map(self.places.get, words))
+        if None in rows:
+            new = [w for w, row in zip(words, rows) if row is None]
+            if len(self.places) + len(new) > KNOWN_CHUNKS:
+                self._forget()
+                new = list(words)
+            self._learn(new)
+            rows = list(map(self.places.get, words))
+        pairs = self.pairs.take(np.array(rows, np.int64), axis=0).ravel()
         counts = np.repeat(np.fromiter(words.values(), np.int64, len(words)), 2)
         held = pairs != -1
         pairs, counts = pairs[held], counts[held]
         if not len(pairs):
             return pairs, counts
-        order = np.argsort(pairs, kind="stable")
+        order = np.argsort(pairs)
         pairs, counts = pairs[order], counts[order]
         first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
         return pairs[first], np.add.reduceat(counts, first)
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The numbers of all ranges, one after another."""
+    """The numbers of all ranges, none of them empty, one after another."""
     ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+    steps = np.ones(ends[-1] if len(ends) else 0, np.int64)
+    steps[:1] = starts[:1]
+    steps[ends[:-1]] += starts[1:] - starts[:-1] - lengths[:-1]
+    return np.cumsum(steps, out=steps)
 
 
 class Index:
@@ -132,7 +172,7 @@ class Index:
         """The index of vectors one after another: example i has the places
         from ``own_starts[i]`` on, its terms in order."""
         own = cls.__new__(cls)
-        own._build(own_terms.astype(np.int32), own_weights, own_starts, terms)
+        own._build(own_terms.astype(np.int32, copy=False), own_weights, own_starts, terms)
         return own
 
     def __reduce__(self):
@@ -144,9 +184,16 @@ class Index:
         self.blocks = -(-n // BLOCK)
         # Forward: the terms of each example, for its exact cosine.
         self.own_terms, self.own_weights, self.own_starts = own_terms, own_weights, own_starts
-        order = np.argsort(own_terms, kind="stable")
-        self.slots, self.weights = np.repeat(np.arange(n, dtype=np.int32), np.diff(own_starts))[order], own_weights.astype(np.float32)[order]
-        self.starts = np.searchsorted(own_terms, np.arange(terms + 1), sorter=order)
+        # Light terms have no postings, only each example's norm over them.
+        held = np.bincount(own_terms, minlength=terms)
+        self.light = np.bincount(own_terms, own_weights, minlength=terms) < LIGHT * held * (own_weights.mean() if len(own_weights) else 0)
+        slots, heavy = np.repeat(np.arange(n, dtype=np.int32), np.diff(own_starts)), ~self.light[own_terms]
+        self.far = np.sqrt(np.bincount(slots[~heavy], own_weights[~heavy] ** 2, minlength=self.blocks * BLOCK)).reshape(-1, BLOCK)
+        self.farthest = self.far.max(axis=1, initial=0)
+        order = np.flatnonzero(heavy)
+        order = order[np.argsort(own_terms[order], kind="stable")]
+        self.slots, self.weights = slots[order], own_weights[order].astype(np.float32)
+        self.starts = np.append(0, np.cumsum(np.where(self.light, 0, held)))
         frequent = np.flatnonzero(np.diff(self.starts) > FREQUENT * n)
         self.row = np.full(terms, -1, np.int32)
         self.row[frequent] = np.arange(len(frequent))
@@ -175,42 +222,44 @@ class Index:
         for i, (terms, weights) in enumerate(vectors):
             if not len(terms) or not self.blocks:
                 continue
-            row = self.row[terms]
-            rare, often = row < 0, row >= 0
-            starts = self.starts[terms[rare]]
-            lengths = self.starts[terms[rare] + 1] - starts
-            at = _ranges(starts, lengths)
-            sums = np.bincount(self.slots.take(at), self.weights.take(at) * np.repeat(weights[rare], lengths), minlength=self.blocks * BLOCK).reshape(-1, BLOCK)
-            rows, light = row[often], weights[often].astype(np.float32)
-            # Sums are in single precision; the bounds allow for what that is off by.
-            bound = sums.max(axis=1) + light @ self.most[rows] + SLACK
+            row, light = self.row[terms], weights[self.light[terms]]
+            starts = self.starts[terms]
+            lengths = self.starts[terms + 1] - starts
+            rare, often = np.flatnonzero((row < 0) & (lengths > 0)), np.flatnonzero(row >= 0)
+            lengths = lengths[rare]
+            at = _ranges(starts[rare], lengths)
+            sums = np.bincount(self.slots.take(at), self.weights.take(at) * np.repeat(weights[rare], lengths), minlength=self.blocks * BLOCK).astype(np.float32).reshape(-1, BLOCK)
+            rows, loads, gap = row[often], weights[often].astype(np.float32), float(np.sqrt(light @ light))
+            # Sums are in single precision and leave out light terms; the bounds allow for both.
+            bound = sums.max(axis=1) + loads @ self.most[rows] + gap * self.farthest + SLACK
             order = np.argsort(-bound, kind="stable")
             first, rest = order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]
-            found = self._opened(sums, first, rows, light)
+            found = self._opened(sums, first, rows, loads)
             least = max(SLACK, np.partition(found.ravel(), -k)[-k] - SLACK) if found.size >= k else SLACK
             rest = rest[bound[rest] >= least]
             if 4 * len(rest) > self.blocks:
-                whole.append((i, sums, rows, light, least))
+                whole.append((i, sums, rows, loads, gap, least))
                 continue
             if len(rest):
-                found, first = np.concatenate([found, self._opened(sums, rest, rows, light)]), np.concatenate([first, rest])
-            out[i] = self._best(terms, weights, found, first, k, least)
+                found, first = np.concatenate([found, self._opened(sums, rest, rows, loads)]), np.concatenate([first, rest])
+            out[i] = self._best(terms, weights, found, first, gap, k, least)
         if whole:
             asked = np.zeros((len(whole), len(self.dense)), np.float32)
-            for j, (_, _, rows, light, _) in enumerate(whole):
-                asked[j, rows] = light
-            for (i, sums, _, _, least), added in zip(whole, asked @ self.dense):
-                out[i] = self._best(*vectors[i], sums + added.reshape(-1, BLOCK), np.arange(self.blocks), k, least)
+            for j, (_, _, rows, loads, _, _) in enumerate(whole):
+                asked[j, rows] = loads
+            for (i, sums, _, _, gap, least), added in zip(whole, asked @ self.dense):
+                sums += added.reshape(-1, BLOCK)
+                out[i] = self._best(*vectors[i], sums, np.arange(self.blocks), gap, k, least)
         return out
 
-    def _best(self, terms: np.ndarray, weights: np.ndarray, found: np.ndarray, blocks: np.ndarray, k: int, least: float) -> list[tuple[float, int]]:
+    def _best(self, terms: np.ndarray, weights: np.ndarray, found: np.ndarray, blocks: np.ndarray, gap: float, k: int, least: float) -> list[tuple[float, int]]:
         """The k best of the examples of ``blocks``, ``found`` being about their
-        cosines and ``least``, less what that is off by, reached by all of the k."""
-        near = found.ravel()
-        at = np.flatnonzero(near >= least - SLACK)
-        if len(at) > k:
-            near = near[at]
-            at = at[near >= np.partition(near, -k)[-k] - 2 * SLACK]
+        cosines without light terms, which add up to ``gap`` times ``far`` at
+        most; ``least``, less what that is off by, is reached by all of the k."""
+        if found.size > k:
+            least = max(least, np.partition(found.ravel(), -k)[-k] - SLACK)
+        near = found + gap * self.far[blocks] if gap else found
+        at = np.flatnonzero(near.ravel() >= least - SLACK)
         places = blocks[at // BLOCK] * BLOCK + at % BLOCK
         places = places[places < len(self.own_starts) - 1]
         near = self._cosines(terms, weights, places)
@@ -221,13 +270,18 @@ class Index:
     def _cosines(self, terms: np.ndarray, weights: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Cosines of some examples in double precision."""
         self.asked[terms] = weights
-        parts = zip(self.own_starts[places].tolist(), self.own_starts[places + 1].tolist())
-        found = np.array([(self.asked.take(self.own_terms[a:b]) * self.own_weights[a:b]).sum() for a, b in parts])
+        found = []
+        for some in np.array_split(places, 1 + len(places) // CANDIDATES):
+            starts, ends = self.own_starts[some], self.own_starts[some + 1]
+            parts = [slice(a, b) for a, b in zip(starts.tolist(), ends.tolist())] + [slice(0)]
+            shared = self.asked.take(np.concatenate([self.own_terms[p] for p in parts])) * np.concatenate([self.own_weights[p] for p in parts])
+            lengths = ends - starts
+            found.append(np.where(lengths > 0, np.add.reduceat(np.append(shared, 0.0), np.cumsum(lengths) - lengths), 0.0))
         self.asked[terms] = 0.0
-        return found
+        return np.concatenate(found)
 
     def _opened(self, sums: np.ndarray, blocks: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """The cosines of the examples of some blocks, in single precision."""
+        """The cosines of the examples of some blocks without light terms, in single precision."""
         return sums[blocks] + np.tensordot(weights, self.dense.reshape(len(self.dense), -1, BLOCK)[rows[:, None], blocks[None, :]], 1)
 
 
@@ -365,7 +419,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
 
     # Examples stay in a shared table; the driver gets their terms and, in the end, the packed counts.
     found = write_shared(examples.mapInPandas(made, "doc_id long, label int, terms binary, counts binary"), "examples", "zstd")
-    in_class = found.select("label", "terms").mapInPandas(classed, "term long, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas().sort_values("term")
+    in_class = found.select("label", "terms").mapInPandas(classed, "term long, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas()
+    # The commonest terms come first: what is looked up most lies close together.
+    in_class = in_class.iloc[np.lexsort((in_class["term"], -in_class["a"] - in_class["b"]))]
     vocabulary, a, b = (in_class[c].to_numpy(np.int64) for c in ("term", "a", "b"))
     del in_class
     table = counted(docs, vocabulary, columns)
@@ -376,9 +432,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     known = docs.sparkSession.sparkContext.broadcast((vocabulary, factor))
 
     def placed(batches):
-        terms, factors = known.value
+        terms, factors = Terms(known.value[0]), known.value[1]
         for pdf in batches:
-            both = [(np.searchsorted(terms, np.frombuffer(t, np.int64)), np.frombuffer(n, np.int32)) for t, n in zip(pdf["terms"], pdf["counts"])]
+            both = [(terms.place(np.frombuffer(t, np.int64)), np.frombuffer(n, np.int32)) for t, n in zip(pdf["terms"], pdf["counts"])]
+            both = [(t[order], n[order]) for t, n in both for order in [np.argsort(t)]]
             heaviest = [int(t[np.argmax((1 + np.log(n)) * factors[t])]) if len(t) else -1 for t, n in both]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "heaviest": heaviest, "own": [packed(*x) for x in both]})
 
